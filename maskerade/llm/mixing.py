@@ -8,7 +8,9 @@ independent draws would err by the root of the sum of squares.
 
 Meetings run in a reduction tree: documents of a source hash into chunks of about ``CHUNK``, a fold over a chunk's
 array settles all but one, and what is left of the chunks meets in chunks of the next level. A hot source is many
-chunks, and a level is 1 / CHUNK of the one before. Draws are hashes of seed, level and both documents, and a
+chunks, and a level is 1 / CHUNK of the one before. Documents longer than their source's mean are settled first;
+what the last of them is off by is spread over the others' fractions before these are settled, so that one very
+long document doesn't decide how near a source comes to its target. Draws are hashes of seed, level and both documents, and a
 chunk's order is by hash and key, so reruns agree.
 
 Defined results: null or empty text has size 0 and is taken as 0 words; a null source is a source of its own, last;
@@ -88,21 +90,12 @@ REST = "struct<k:bigint,doc_id:bigint,size:bigint,p:double>"
 DONE = "array<struct<doc_id:bigint,size:bigint,take:int>>"
 
 
-def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 29) -> DataFrame:
-    """doc_id, size, source_size, target and ``copies`` for each row of (doc_id, source, size)."""
-    sizes = common.pin(sizes)
-    stats = common.pin(targets(sizes, weights, cap).withColumn("_s", F.monotonically_increasing_id()))
-    most = stats.agg(F.max("n")).first()[0] or 0
-    facts = stats.select(F.col("source").alias("_source"), "_s", "n", "source_size", "target")
-    want = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = sizes.join(common.small(facts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_want", want)
-    rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
-    open_ = (F.col("size") > 0) & (F.col("_p") > 1e-12)
-    plain = rows.filter(~open_).select("_s", "doc_id", "size", F.lit(0).alias("take"))
+def _tree(live: DataFrame, most: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """Settles all rows: the settled ones of each level, and by source the words the last one is off by."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    chunks = F.ceil(F.col("n") / CHUNK)
-    live = rows.filter(open_).select("_s", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), chunks).alias("_c"), F.struct(key.alias("k"), "doc_id", F.col("size"), F.col("_p").alias("p")).alias("x"))
-    settled, level, width = [plain], 0, -(-most // CHUNK)
+    chunk = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / CHUNK))
+    live = live.select("_s", chunk.alias("_c"), F.struct(key.alias("k"), "doc_id", F.col("size"), F.col("_p").alias("p")).alias("x"))
+    settled, level, width = [], 0, -(-most // CHUNK)
     while True:
         met = live.groupBy("_s", "_c").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
             "_s", "_c", F.aggregate("xs", F.struct(F.lit(None).cast(REST).alias("rest"), F.array().cast(DONE).alias("done")), _meet(level, seed)).alias("m")
@@ -114,7 +107,29 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
             break
         level, width = level + 1, -(-width // CHUNK)
     draw = (F.xxhash64(F.lit(seed), F.lit(-1), F.col("x.k")).cast("double") / F.lit(2.0**64)) + 0.5
-    settled.append(live.select("_s", "x.doc_id", "x.size", (draw < F.col("x.p")).cast("int").alias("take")))
+    last = live.select("_s", "x.doc_id", "x.size", "x.p", (draw < F.col("x.p")).cast("int").alias("take"))
+    return [*settled, last.drop("p")], last.select("_s", ((F.col("p") - F.col("take")) * F.col("size")).alias("_off"))
+
+
+def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 29) -> DataFrame:
+    """doc_id, size, source_size, target and ``copies`` for each row of (doc_id, source, size)."""
+    sizes = common.pin(sizes)
+    stats = common.pin(targets(sizes, weights, cap).withColumn("_s", F.monotonically_increasing_id()))
+    most = stats.agg(F.max("n")).first()[0] or 0
+    facts = stats.select(F.col("source").alias("_source"), "_s", "n", "source_size", "target")
+    want = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    rows = sizes.join(common.small(facts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_want", want)
+    rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
+    open_ = (F.col("size") > 0) & (F.col("_p") > 1e-12)
+    settled = [rows.filter(~open_).select("_s", "doc_id", "size", F.lit(0).alias("take"))]
+    live = rows.filter(open_).withColumn("_long", F.col("size") > F.col("source_size") / F.col("n"))
+    parts, last = _tree(live.filter("_long"), most, seed)
+    settled += parts
+    shift = live.filter("not _long").groupBy("_s").agg(F.sum("size").alias("_mass")).join(last, "_s")
+    shift = shift.select(F.col("_s").alias("_t"), (F.col("_off") / F.col("_mass")).alias("_shift"))
+    short = live.filter("not _long").join(common.small(common.pin(shift)), F.col("_s") == F.col("_t"), "left")
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p") + F.coalesce(F.col("_shift"), F.lit(0.0))))
+    settled += _tree(short.withColumn("_p", moved), most, seed)[0]
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
