@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding
 
 
 def _table(spark, sf_dir, name):
@@ -17,5 +17,16 @@ def op7_stratified_interleaving(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_pivotal_mixing, op7_stratified_interleaving)}
+def op10_vector_best_fit(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op6_pivotal_mixing,
+        op7_stratified_interleaving,
+        op10_vector_best_fit,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
