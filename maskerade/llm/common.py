@@ -38,6 +38,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranges(spark: SparkSession, rows: int) -> int:
+    """Into how many ranges an order is cut: several for each task, and none of much over 100,000 rows."""
+    return max(4 * shuffle_partitions(spark), rows // 100_000)
+
+
 def spread(hashed: Column, buckets: Column | int) -> Column:
     """A bucket from 0 to buckets - 1, monotone in a signed 64-bit hash."""
     buckets = buckets if isinstance(buckets, Column) else F.lit(buckets)

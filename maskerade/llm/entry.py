@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ..session import ship
 from . import mixing, packing, sharding
 
 
 def _table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
