@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import mixing, packing, sharding
+from . import langid, mixing, packing, quality_crf, sharding
 
 
 def _table(spark, sf_dir, name):
@@ -11,6 +11,16 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_crf(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_bitmask_filters(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op6_pivotal_mixing(spark, sf_dir):
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
@@ -26,8 +36,10 @@ def op10_vector_best_fit(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_line_crf,
         op6_pivotal_mixing,
         op7_stratified_interleaving,
+        op8_bitmask_filters,
         op10_vector_best_fit,
     )
 }
