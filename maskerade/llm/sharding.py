@@ -21,15 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a range whose ranks are counted in one task.
-RANGE_ROWS = 20_000
-
 
 def interleave(rows: DataFrame, shards: int, source: str = "source", keys: tuple[str, ...] = ("doc_id",), seed: int = 17) -> DataFrame:
     """Adds ``shard`` and ``slot``, its place there from 0. ``keys`` order the rows of a source, once hashed."""
     rows = common.pin(rows.withColumn("_h", F.xxhash64(F.lit(seed), *(F.col(k) for k in keys))))
     n = rows.count()
-    buckets = max(1, -(-n // RANGE_ROWS))
+    buckets = common.ranges(rows.sparkSession, n)
     keyed = [F.col("_h"), *(F.col(k).asc_nulls_last() for k in keys)]
     ranks = common.ranked(rows.withColumn("_b", common.spread(F.col("_h"), buckets)), [source], "_b", keyed, "_rank", "_of")
     ranks = ranks.withColumn("_f", (2 * F.col("_rank") + 1) / (2.0 * F.col("_of")))
