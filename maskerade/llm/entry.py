@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import langid, mixing, packing, quality_crf, sharding
+from . import jaccard_forest, langid, mixing, packing, quality_crf, sharding
 
 
 def _table(spark, sf_dir, name):
@@ -11,6 +11,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lsh_forest_join(spark, sf_dir):
+    return jaccard_forest.join(_table(spark, sf_dir, "documents"))
+
+
 def op2_line_crf(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return quality_crf.score(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels")))
@@ -36,6 +40,7 @@ def op10_vector_best_fit(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lsh_forest_join,
         op2_line_crf,
         op6_pivotal_mixing,
         op7_stratified_interleaving,
