@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import jaccard_forest, langid, mixing, packing, quality_crf, sharding
+from . import jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op8_bitmask_filters(spark, sf_dir):
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_log_frequency_filter(spark, sf_dir):
+    return lm_bloom.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mixing(spark, sf_dir):
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
         op6_pivotal_mixing,
         op7_stratified_interleaving,
         op8_bitmask_filters,
+        op9_log_frequency_filter,
         op10_vector_best_fit,
     )
 }
