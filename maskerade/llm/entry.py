@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding
+from . import jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding, suffix_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -29,6 +29,10 @@ def op9_log_frequency_filter(spark, sf_dir):
     return lm_bloom.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark, sf_dir):
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mixing(spark, sf_dir):
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     for f in (
         op1_lsh_forest_join,
         op2_line_crf,
+        op4_suffix_array,
         op6_pivotal_mixing,
         op7_stratified_interleaving,
         op8_bitmask_filters,
