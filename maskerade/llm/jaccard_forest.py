@@ -241,11 +241,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, tr
     signed = common.pin(texts.mapInArrow(lambda it: _sign(it, width, trees, depth), "doc_id long, node long, prefixes array<long>"))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("prefixes").alias("prefixes"))
     nodes = common.pin(nodes)
-    members = nodes.select("node", "doc_id", "copies", "prefixes", F.posexplode("prefixes").alias("tree", "prefix"))
-    sizes = nodes.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").count().filter("count > 1")
-    sizes = sizes.select("prefix", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    members = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
+    sizes = members.groupBy("prefix").count().filter("count > 1").select("prefix", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, "prefix").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.join(nodes, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = members.select("prefix", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tree", "block", "node", "doc_id", "copies", "prefixes")
     parts = common.shuffle_partitions(docs.sparkSession)
     dealt = units.repartition(parts, *_Units.KEYS).sortWithinPartitions(*_Units.KEYS)
