@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding, suffix_dedup
+from . import chroma, jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding, suffix_dedup, template_html
 
 
 def _table(spark, sf_dir, name):
@@ -29,6 +29,15 @@ def op9_log_frequency_filter(spark, sf_dir):
     return lm_bloom.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_chroma_search(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as samples")
+    return chroma.search_digest(vectors).withColumnRenamed("id", "vec_id")
+
+
+def op5_template_classes(spark, sf_dir):
+    return template_html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array(spark, sf_dir):
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +59,9 @@ QUERIES = {
     for f in (
         op1_lsh_forest_join,
         op2_line_crf,
+        op3_chroma_search,
         op4_suffix_array,
+        op5_template_classes,
         op6_pivotal_mixing,
         op7_stratified_interleaving,
         op8_bitmask_filters,
