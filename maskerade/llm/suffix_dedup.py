@@ -13,7 +13,8 @@ suffix stands for a run of strings with that token, and carries the hash of the
    and so are all strings they stand for.
 2. A token that has suffixes covering different bytes, or that meets a bucket's edge, may still have equal strings
    in part of them. The first suffix of each class is compared across classes and bucket boundaries: by token, and
-   string by string, on the bytes themselves. Tokens with more than ``HOT`` classes are dealt by string instead.
+   string by string, on the bytes themselves. Tokens with more than ``HOT`` classes, and those at an edge, which may
+   have classes in several buckets, are dealt by string instead.
 3. Documents gather their repeated stretches; those without any never move.
 
 Defined results: null and empty text has no bytes and is kept as it is; a text shorter than ``LENGTH`` has no string;
@@ -176,7 +177,8 @@ def _deal(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, most: int =
         yield from flush()
 
 
-REPEAT, CLASS = 0, 1
+#: Kinds of what a bucket finds: a repeated stretch, a class to compare by token or by string.
+REPEAT, CLASS, STRING = 0, 1, 2
 FOUND = "kind int, did long, a long, b long"
 
 
@@ -190,13 +192,15 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     new_lead[1:] = lead[1:] != lead[:-1]
     new[1:] = new_lead[1:] | (cover[1:] != cover[:-1])
     token = np.cumsum(new_lead) - 1
-    open_ = np.bincount(token, weights=new) > 1
-    open_[[0, -1]] = True
-    more = new & open_[token]
+    classes = np.bincount(token, weights=new)
+    kind = np.where(classes > HOT, STRING, np.where(classes > 1, CLASS, REPEAT))
+    kind[[0, -1]] = STRING
+    kind = kind[token]
+    more = new & (kind != REPEAT)
     did, packed = r["did"][order], r["packed"][order]
     first, last = _unpacked(packed[~new])
     columns = [
-        np.concatenate((np.full(len(first), REPEAT), np.full(int(more.sum()), CLASS))).astype(np.int32),
+        np.concatenate((np.full(len(first), REPEAT), kind[more])).astype(np.int32),
         np.concatenate((did[~new], did[more])),
         np.concatenate((first, lead[more].view(np.int64))),
         np.concatenate((last + LENGTH, packed[more])),
@@ -323,7 +327,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated stretches (did, a, b) of documents (did, text), pinned; they may overlap."""
+    """Repeated stretches (did, a, b) of documents (did, text); they may overlap. To be read once."""
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     texts = docs.select("did", "text").filter(F.octet_length("text") >= LENGTH)
@@ -337,16 +341,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     splitters = np.stack([sample[k].to_numpy()[picks] for k in ("lead", "cover", "did")], axis=1) if len(picks) else np.zeros((0, 3), np.int64)
     dealt = texts.mapInArrow(lambda it: _deal(it, splitters), "bucket int, lead binary, cover binary, did binary, packed binary")
     found = common.pin(dealt.groupBy("bucket").applyInArrow(_sort_bucket, FOUND))
-    classes = found.filter(F.col("kind") == CLASS).select("did", F.col("a").alias("key"), F.col("b").alias("packed"))
-    sizes = common.pin(classes.groupBy("key").count())
-    several = classes.join(sizes.filter("count > 1"), "key").select("did", F.struct("key", "packed", (F.col("count") > HOT).alias("hot")).alias("s"))
-    wanted = common.pin(several.groupBy("did").agg(F.collect_list("s").alias("suffixes")))  # at most a document's suffixes
+    classes = found.filter(F.col("kind") != REPEAT).select("did", F.struct(F.col("a").alias("key"), F.col("b").alias("packed"), (F.col("kind") == STRING).alias("hot")).alias("s"))
+    wanted = common.pin(classes.groupBy("did").agg(F.collect_list("s").alias("suffixes")))  # at most a document's suffixes
     amount = wanted.agg(F.sum(F.size("suffixes"))).first()[0] or 0
     texts = texts.join(common.small(wanted.select("did"), 200_000), "did", "left_semi").join(wanted, "did")
     strings = texts.select("did", "text", "suffixes").mapInArrow(_cut, STRINGS)
     deal = max(parts, amount * WINDOW // 2 // 1_000_000)
-    compared = strings.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(deal))).groupBy("deal").applyInArrow(lambda t: _compare(t), "did long, a long, b long")
-    return common.pin(found.filter(F.col("kind") == REPEAT).select("did", "a", "b").unionByName(compared))
+    compared = strings.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(deal))).groupBy("deal").applyInArrow(_compare, "did long, a long, b long")
+    return found.filter(F.col("kind") == REPEAT).select("did", "a", "b").unionByName(compared)
 
 
 def _with_spans(docs: DataFrame, work: Callable[[bytes, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
