@@ -143,13 +143,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Decisions meet their documents by doc_id; where it repeats, in the order of sizes, so each finds one of its own size.
     """
-    sized = docs.withColumn("_size", common.word_count(F.col("text")))
-    decided = decide(sized.select("doc_id", "source", F.col("_size").alias("size")), **options)
+    sized = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))  # names of theirs can't clash with ours
+    sized = sized.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), common.word_count(F.col("row.text")).alias("size"))
+    decided = decide(sized.select("doc_id", "source", "size"), **options)
     nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    left = sized.withColumn("_nth", nth("_size", "source", "text")).alias("l")
-    right = decided.withColumn("_nth", nth("size", "copies")).select("doc_id", "_nth", "copies").alias("r")
-    met = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._nth") == F.col("r._nth")))
-    return met.filter("copies > 0").select(*(F.col(f"l.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    left = sized.withColumn("nth", nth("size", "source", "row.text")).alias("l")
+    right = decided.withColumn("nth", nth("size", "copies")).select("doc_id", "nth", "copies").alias("r")
+    met = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.nth") == F.col("r.nth")))
+    return met.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:

@@ -406,5 +406,6 @@ def remove(docs: DataFrame) -> DataFrame:
         return {"text": None if raw is None else _without(raw, a, b).decode("utf-8", "ignore") if len(a) else raw.tobytes().decode()}
 
     rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "text string"])
-    return _with_spans(docs, work, schema).select(*docs.columns)
+    row = docs.select(F.struct(*(f"`{c}`" for c in rest)).alias("row"), "doc_id", "text")  # names of theirs can't clash with ours
+    done = _with_spans(row, work, f"row {row.schema['row'].dataType.simpleString()}, doc_id {row.schema['doc_id'].dataType.simpleString()}, text string")
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

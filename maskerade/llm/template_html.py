@@ -4,7 +4,7 @@ A page is a sequence of tokens: its elements, told apart by the path of tags and
 text nodes. The occurrence vector of a token holds how often each page of its host has it. Tokens with the same
 vector form an equivalence class; classes that at least ``SUPPORT`` of the pages have, and whose tokens all lie in one
 slot of another valid class, nest into the host's template. What the template leaves open are slots; of these, the
-main text is what lies in the innermost element of the root class (there once on every page) that still holds
+main text is what lies in the innermost grouping element of the root class (there once on every page) that still holds
 ``HOLDS`` of all text outside menus, forms and the like.
 
 Text nodes of the root class, the same on all of at least ``CONSTANT`` pages, are template and not content. Hosts
@@ -48,6 +48,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _BORDER = frozenset("ul ol dl table select article section div main body nav aside footer header form".split())
+#: Elements that group blocks, and so can hold a main text.
+_GROUPS = frozenset("article body center div html main section table tbody td tr".split())
 #: Elements that hold no main text, and words in class, id or role that say the same.
 _ASIDE = frozenset("nav header footer aside form button select menu dialog head".split())
 _ASIDE_NAMED = re.compile(
@@ -215,7 +217,7 @@ def deduce(tokens: list[dict]) -> dict:
         for step in at:
             name, _, named = step.partition(".")
             p = p.child(name, named)
-        if not p.aside and t["chars"] >= HOLDS * max(base["chars"], 1) and len(at) > depth:
+        if p.name in _GROUPS and not p.aside and t["chars"] >= HOLDS * max(base["chars"], 1) and len(at) > depth:
             container, depth = t["token"], len(at)
     same = vector(base) if base["pages"] >= CONSTANT else None
     constants = sorted(t["token"] for t in tokens if t["path"] is None and vector(t) == same)
