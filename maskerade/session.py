@@ -9,9 +9,17 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Python gets batches of at most so many bytes: rows are documents, of any length.
+BATCH, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _shipped: set[str] = set()
 
 
+def bytes_of(size: str) -> int:
+    """Bytes of a size such as 64m."""
+    number = size.lower().rstrip("bkmgt")
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(size.lower()[len(number) : len(number) + 1], 0)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once an application; Spark's file server delivers it."""
     sc = spark.sparkContext
@@ -23,3 +31,5 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(here, f"{tmp}/in/{here.name}", ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(f"{tmp}/{here.name}", "zip", f"{tmp}/in"))
     _shipped.add(sc.applicationId)
+    if bytes_of(spark.conf.get(BATCH, "64m")) > bytes_of(MOST):
+        spark.conf.set(BATCH, MOST)
