@@ -68,6 +68,7 @@ def _set_key(s: np.ndarray) -> np.ndarray:
     return textbytes.mixed(s).sum(dtype=np.uint64)
 
 
+@textbytes.lean
 def _sign(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
     seeds = textbytes.mixed(np.arange(1, 2 * trees * depth + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     flips, factors = seeds[::2], seeds[1::2] | np.uint64(1)
@@ -94,6 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: int)
             )
 
 
+@textbytes.lean
 def _whole_units(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2000) -> Iterator[pa.Table]:
     """Stretches of a sorted stream that end where a unit ends."""
     held: list[pa.RecordBatch] = []
@@ -159,6 +161,7 @@ class _Units:
             yield lo, len(self.node)
 
 
+@textbytes.lean
 def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have a pair to verify."""
     for table in _whole_units(batches, _Units.KEYS):
@@ -191,6 +194,7 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return np.rint(total[i, j]).astype(np.int64)
 
 
+@textbytes.lean
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """For each unit's node with links there: the least node it is connected with, linked texts and documents."""
     for table in _whole_units(batches, _Units.KEYS, rows=500):

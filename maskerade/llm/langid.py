@@ -83,6 +83,7 @@ def _places(h: np.ndarray) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) >> np.uint64(64 - BITS)).astype(np.int64) for i in range(PROBES)]
 
 
+@textbytes.lean
 def _count(batches, languages: list[str]):
     """Distinct n-grams of each language in a partition, with their counts."""
     number = {name: i for i, name in enumerate(languages)}
@@ -130,6 +131,7 @@ def _count(batches, languages: list[str]):
     yield from rows()
 
 
+@textbytes.lean
 def _slots(batches):
     for batch in batches:
         h = batch.column("h").to_numpy().view(np.uint64)
@@ -198,6 +200,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @textbytes.lean
     def run(batches):
         m = shared.value
         for batch in batches:

@@ -85,6 +85,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+@textbytes.lean
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[np.ndarray]] = {UNIGRAM: [], PAIRS: []}
 
@@ -117,6 +118,7 @@ def _arrays(h: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return hs[first], np.add.reduceat(ns, first) if len(first) else ns
 
 
+@textbytes.lean
 def _merge(table: pa.Table) -> pa.Table:
     h, n = _arrays(table.column("h"), table.column("n"))
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
@@ -125,6 +127,7 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], t) for k, v, t in zip(("kind", "bucket", "types", "total", "h", "n"), row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
 
+@textbytes.lean
 def _least(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """The n-grams of at least a count."""
     for batch in batches:
@@ -228,6 +231,7 @@ SCORED = "kind int, bucket int, h binary, n binary, doc binary, score binary"
 PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
+@textbytes.lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per stretch: its documents' own rows, and by bucket the words whose counts are elsewhere."""
     part = TaskContext.get().partitionId()
@@ -276,6 +280,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Ite
         yield from flush()
 
 
+@textbytes.lean
 def _look_up(table: pa.Table, model: Model) -> pa.Table:
     """What a bucket adds to each document's row."""
     kind = table.column("kind").to_numpy()

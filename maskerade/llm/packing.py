@@ -167,6 +167,7 @@ class Tokens:
         return ids, total[np.concatenate(([0], ends + np.arange(1, texts + 1)))]
 
 
+@textbytes.lean
 def _cut(batches: Iterator[pa.RecordBatch], path: str, tokens: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = Tokens(path)
     for batch in batches:

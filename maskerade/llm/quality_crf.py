@@ -213,6 +213,7 @@ def fit(features: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int =
     return {"emit": emit_w, "step": step_w}
 
 
+@textbytes.lean
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets, _ = textbytes.raw_text(batch.column("text"))
@@ -249,6 +250,7 @@ def _judged(seen: Seen, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Counts and verdict of every document."""
 
+    @textbytes.lean
     def run(batches):
         for batch in batches:
             buf, offsets, _ = textbytes.raw_text(batch.column("text"))
@@ -268,6 +270,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def label_lines(docs: DataFrame, model: dict) -> DataFrame:
     """Every line with a word: its document, bytes [start, end) and mark."""
 
+    @textbytes.lean
     def run(batches):
         for batch in batches:
             buf, offsets, _ = textbytes.raw_text(batch.column("text"))
@@ -288,6 +291,7 @@ def label_lines(docs: DataFrame, model: dict) -> DataFrame:
 def keep(docs: DataFrame, model: dict) -> DataFrame:
     """The documents that are kept, with all their columns."""
 
+    @textbytes.lean
     def run(batches):
         for batch in batches:
             buf, offsets, _ = textbytes.raw_text(batch.column("text"))

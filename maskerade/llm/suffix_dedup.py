@@ -38,7 +38,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Documents from which splitters are taken; suffixes of a bucket; classes of a token that are compared in one task.
 SAMPLE, BUCKET, HOT = 1000, 1_000_000, 1024
 #: Longer documents are worked on in parts of this many bytes.
-PART = 1 << 22
+PART = 1 << 20
 _PLACE = 24
 
 _SECOND = textbytes.byte_values(2)
@@ -132,6 +132,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
 _KEYS = ("lead", "cover", "did", "packed")
 
 
+@textbytes.lean
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in _rows(batch):
@@ -154,6 +155,7 @@ def _bucket_of(r: dict[str, np.ndarray], splitters: np.ndarray) -> np.ndarray:
     return bucket
 
 
+@textbytes.lean
 def _deal(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Suffixes in packed columns, a row for each stretch of text and bucket."""
     held: list[dict[str, np.ndarray]] = []
@@ -182,6 +184,7 @@ REPEAT, CLASS, STRING = 0, 1, 2
 FOUND = "kind int, did long, a long, b long"
 
 
+@textbytes.lean
 def _sort_bucket(table: pa.Table) -> pa.Table:
     """Repeated stretches (a to b of did), and the first suffix of classes (a: token, b: packed) to compare further."""
     r = {k: np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]) for k in _KEYS}
@@ -211,6 +214,7 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 STRINGS = "kind int, key long, did long, place long, bytes binary"
 
 
+@textbytes.lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that suffixes cover; a hot token's strings each, repeats within the batch decided at once."""
     for batch in batches:
@@ -269,17 +273,19 @@ def _strings(buf: np.ndarray, start: np.ndarray, did: np.ndarray, place: np.ndar
     return h, order, repeat
 
 
+@textbytes.lean
 def _compare(table: pa.Table) -> pa.Table:
     """Repeated stretches among the strings of a bucket's suffixes."""
     kind, key = table.column("kind").to_numpy(), table.column("key").to_numpy()
     did, place = table.column("did").to_numpy(), table.column("place").to_numpy()
     dids, places = [did[kind == REPEAT]], [place[kind == REPEAT]]
-    buf, offsets, _ = textbytes.raw_text(table.column("bytes"))
     rows = np.flatnonzero(kind == CLASS)
     rows = rows[np.argsort(key[rows], kind="stable")]
-    n = offsets[rows + 1] - offsets[rows] - LENGTH + 1
+    buf, offsets, _ = textbytes.raw_text(table.column("bytes").take(pa.array(rows)))  # bytes of a token lie together
+    key, did, place = key[rows], did[rows], place[rows]
+    n = np.diff(offsets) - LENGTH + 1
     # tokens are worked on a stretch of whole ones at a time
-    edge = np.flatnonzero(np.concatenate(([True], key[rows][1:] != key[rows][:-1]))) if len(rows) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(rows) else np.zeros(0, np.int64)
     total = np.concatenate(([0], np.cumsum(n)))
     cuts, k = [0], 0
     while len(edge) and k < len(rows):
@@ -288,7 +294,7 @@ def _compare(table: pa.Table) -> pa.Table:
         cuts.append(k)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         size = n[a:b]
-        row = np.repeat(rows[a:b], size)
+        row = np.repeat(np.arange(a, b), size)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         _, order, repeat = _strings(buf, offsets[row] + shift, did[row], place[row] + shift)
         found = order[repeat]
@@ -351,26 +357,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == REPEAT).select("did", "a", "b").unionByName(compared)
 
 
-def _with_spans(docs: DataFrame, work: Callable[[bytes, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+def _with_spans(docs: DataFrame, work: Callable[[bytes, np.ndarray, np.ndarray], dict], types: dict[str, pa.DataType], schema: str) -> DataFrame:
     """Applies ``work`` to each text and its repeated runs. Documents without any don't move."""
 
+    @textbytes.lean
     def run(batches):
         for batch in batches:
             spans = batch.column("spans") if "spans" in batch.schema.names else None
             rest = [c for c in batch.schema.names if c not in ("did", "text", "spans")]
             buf, offsets, null = textbytes.raw_text(batch.column("text"))
             none = np.zeros(0, np.int64)
-            rows = []
-            for i in range(batch.num_rows):
-                a, b = none, none
-                if spans is not None and spans[i].is_valid:
-                    v = spans[i].values
-                    a, b = _union(np.asarray(v.field("a")), np.asarray(v.field("b")))
-                rows.append(work(None if null[i] else buf[offsets[i] : offsets[i + 1]], a, b))
-            columns = {c: batch.column(c) for c in rest}
-            made = pa.RecordBatch.from_pylist(rows) if rows else None
-            if made is not None:
-                yield pa.RecordBatch.from_arrays([*columns.values(), *made.columns], names=[*columns, *made.schema.names])
+            for lo, hi in textbytes.slabs(offsets, 1 << 21):
+                rows = []
+                for i in range(lo, hi):
+                    a, b = none, none
+                    if spans is not None and spans[i].is_valid:
+                        v = spans[i].values
+                        a, b = _union(np.asarray(v.field("a")), np.asarray(v.field("b")))
+                    rows.append(work(None if null[i] else buf[offsets[i] : offsets[i + 1]], a, b))
+                columns = {c: batch.column(c).slice(lo, hi - lo) for c in rest}
+                columns |= {c: pa.array([r[c] for r in rows], types[c]) for c in types}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     numbered = _numbered(docs)
     spans = common.pin(repeats(numbered).groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("spans")))  # at most a document's suffixes
@@ -396,7 +403,8 @@ def digest(docs: DataFrame) -> DataFrame:
         raw = empty if raw is None else raw
         return {"n_bytes": len(raw), "n_removed": int((b - a).sum()), "n_spans": len(a), "kept_sha256": hashlib.sha256(_without(raw, a, b)).hexdigest()}
 
-    return _with_spans(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    return _with_spans(docs.select("doc_id", "text"), work, types, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -407,5 +415,5 @@ def remove(docs: DataFrame) -> DataFrame:
 
     rest = [c for c in docs.columns if c != "text"]
     row = docs.select(F.struct(*(f"`{c}`" for c in rest)).alias("row"), "doc_id", "text")  # names of theirs can't clash with ours
-    done = _with_spans(row, work, f"row {row.schema['row'].dataType.simpleString()}, doc_id {row.schema['doc_id'].dataType.simpleString()}, text string")
+    done = _with_spans(row, work, {"text": pa.string()}, f"row {row.schema['row'].dataType.simpleString()}, doc_id {row.schema['doc_id'].dataType.simpleString()}, text string")
     return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
