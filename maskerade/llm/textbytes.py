@@ -73,9 +73,9 @@ def lean(work: Callable) -> Callable:
     else:
 
         @functools.wraps(work)
-        def run(*args, **options):
+        def run(table, *rest):  # Spark counts the arguments
             try:
-                return work(*args, **options)
+                return work(table, *rest)
             finally:
                 _trim()
 
