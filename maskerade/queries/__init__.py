@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import documents, spans, templates
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+QUERIES = templates.QUERIES | documents.QUERIES | spans.QUERIES
+ORACLE_SQL = templates.ORACLE_SQL | documents.ORACLE_SQL | spans.ORACLE_SQL
+flagship = documents.label_counts
