@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, spans, templates
+from . import documents, preparation, sessions, spans, templates
 
-QUERIES = templates.QUERIES | documents.QUERIES | spans.QUERIES
-ORACLE_SQL = templates.ORACLE_SQL | documents.ORACLE_SQL | spans.ORACLE_SQL
+QUERIES = templates.QUERIES | documents.QUERIES | spans.QUERIES | sessions.QUERIES | preparation.QUERIES
+ORACLE_SQL = templates.ORACLE_SQL | documents.ORACLE_SQL | spans.ORACLE_SQL | sessions.ORACLE_SQL | preparation.ORACLE_SQL
 flagship = documents.label_counts

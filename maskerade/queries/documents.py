@@ -173,14 +173,11 @@ def leak_report(spark, sf_dir):
     return evaluate.leaks(truth, swept.select("doc_id", "redacted"), "doc_id")
 
 
-@query(
-    "SELECT doc_id, replace(text, 'mail5.example.com', '<ORGANIZATION_001>') AS swept FROM documents WHERE regexp_matches(text, '@mail5\\.example\\.com')"
-    " AND NOT regexp_matches(text, '[\\p{L}\\p{N}_]mail5\\.example\\.com|mail5\\.example\\.com[\\p{L}\\p{N}_]')"
-)
+@query("SELECT doc_id, replace(text, 'mail5.example.com', '<ORGANIZATION_001>') AS swept FROM documents")
 def known_value_sweep(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter(F.col("text").rlike(r"@mail5\.example\.com") & ~F.col("text").rlike(r"[\p{L}\p{N}_]mail5\.example\.com|mail5\.example\.com[\p{L}\p{N}_]"))
-    known = F.create_map(F.lit("mail5.example.com"), F.lit("<ORGANIZATION_001>"), F.lit("abc"), F.lit("<ORGANIZATION_002>"))
-    return docs.select("doc_id", pseudonyms.swept(F.col("text"), known).alias("swept"))
+    """A known value replaced in all texts; one under four characters isn't swept."""
+    known = F.create_map(F.lit("mail5.example.com"), F.lit("<ORGANIZATION_001>"), F.lit("and"), F.lit("<ORGANIZATION_002>"))
+    return _docs(spark, sf_dir).select("doc_id", pseudonyms.swept(F.col("text"), known).alias("swept"))
 
 
 @query(
@@ -195,9 +192,9 @@ def secret_assignments(spark, sf_dir):
     return rows.select("doc_id", "value", F.length("value").cast("long").alias("n_chars"), validators.benign_hash(F.col("value")).alias("benign"))
 
 
-_CHUNKS = """
+CHUNKS = """
 WITH RECURSIVE cut AS (
-  SELECT doc_id, text, length(text) AS n, 0 AS chunk_no, cast(0 as bigint) AS start, {end0} AS stop FROM (SELECT doc_id, text, length(text) AS n, cast(0 as bigint) AS i FROM documents) d WHERE n > 0
+  SELECT doc_id, text, length(text) AS n, 0 AS chunk_no, cast(0 as bigint) AS start, {end0} AS stop FROM (SELECT doc_id, text, length(text) AS n, cast(0 as bigint) AS i FROM documents WHERE text IS NOT NULL) d
   UNION ALL
   SELECT doc_id, text, n, chunk_no + 1, i, {end0} FROM (SELECT doc_id, text, n, chunk_no, greatest(stop - 80, start + 1) AS i FROM cut WHERE stop < n) d
 )
@@ -207,10 +204,9 @@ SELECT doc_id, chunk_no, cast(start as int) AS start, substr(text, cast(start as
 )
 
 
-@query(_CHUNKS)
+@query(CHUNKS)
 def chunk_windows(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("length(text) > 0")
-    return chunks.chunked(docs, "doc_id")
+    return chunks.chunked(_docs(spark, sf_dir), "doc_id")
 
 
 @query(

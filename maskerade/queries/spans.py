@@ -22,7 +22,7 @@ def query(oracle: str | None = None):
 
 # Spans of a document (an order): touching, nested and equal ones, with ties of confidence. Read alike by both engines.
 LABELS = "CASE l_partkey % 6 WHEN 0 THEN 'payment_card' WHEN 1 THEN 'person' WHEN 2 THEN 'email' WHEN 3 THEN 'government_id' WHEN 4 THEN 'address' ELSE 'postal_code' END"
-SPANS = f"""SELECT l_orderkey AS doc, cast(l_linenumber as int) AS seq, cast(l_suppkey % 40 as int) AS "start", cast(l_suppkey % 40 + 1 + l_partkey % 12 as int) AS "end",
+SPANS = f"""SELECT l_orderkey AS doc, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as int) AS seq, cast(l_suppkey % 40 as int) AS "start", cast(l_suppkey % 40 + 1 + l_partkey % 12 as int) AS "end",
   {LABELS} AS label, cast(0 as int) AS tier, cast((l_partkey % 5) as double) / 10 + 0.5 AS conf, 'r' || cast(l_linenumber as string) AS rule, cast(NULL as string) AS validator FROM lineitem"""
 FLOOR = ", ".join(f"'{x}'" for x in fixed.FLOOR_LABELS)
 
@@ -86,7 +86,7 @@ def address_stitch(spark, sf_dir):
 
 # Inactive spans by character: what no active span covers, as runs.
 _CLIP = f"""
-WITH s AS (SELECT *, seq % 2 = 0 AS active FROM ({SPANS}) q WHERE doc % 20 = 0), act AS (SELECT * FROM s WHERE active),
+WITH s AS (SELECT *, seq % 2 = 0 AS active FROM ({SPANS}) q), act AS (SELECT * FROM s WHERE active),
 chars AS (SELECT doc, seq, label, unnest(generate_series("start", "end" - 1)) AS c FROM s WHERE NOT active),
 free AS (SELECT * FROM chars x WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.doc = x.doc AND a."start" <= x.c AND x.c < a."end")),
 runs AS (SELECT *, c - row_number() OVER (PARTITION BY doc, seq ORDER BY c) AS run FROM free)
@@ -97,7 +97,7 @@ UNION ALL SELECT doc, seq, label, "start", "end", active FROM act
 
 @query(_CLIP)
 def inactive_clip(spark, sf_dir):
-    rows = _lineitem(spark, sf_dir).filter("doc % 20 = 0").withColumn("active", F.col("seq") % 2 == 0)
+    rows = _lineitem(spark, sf_dir).withColumn("active", F.col("seq") % 2 == 0)
     return merge.clip_inactive(rows, "doc").select("doc", "seq", "label", "start", "end", "active")
 
 
@@ -159,15 +159,15 @@ def denylist_terms(spark, sf_dir):
     return policy.denied(texts, ["widget", "ring", "w", "rin"], "p_partkey").select("p_partkey", "start", "end", "label")
 
 
-_PATHS = """SELECT c_custkey AS doc, 5 AS at, CASE c_custkey % 4 WHEN 0 THEN '/home/user' || cast(c_custkey as string) || '/notes.txt' WHEN 1 THEN 'C:' || chr(92) || 'Users' || chr(92) || 'u' || cast(c_custkey as string) || chr(92) || 'x'
+_PATHS = """SELECT c_custkey AS doc, 5 AS pos, CASE c_custkey % 4 WHEN 0 THEN '/home/user' || cast(c_custkey as string) || '/notes.txt' WHEN 1 THEN 'C:' || chr(92) || 'Users' || chr(92) || 'u' || cast(c_custkey as string) || chr(92) || 'x'
   WHEN 2 THEN '/etc/hosts' ELSE '~alex/x' END AS value FROM customer"""
 
 
 @query(f"""SELECT doc, CASE doc % 4 WHEN 0 THEN 'user' || cast(doc as string) WHEN 1 THEN 'u' || cast(doc as string) ELSE 'alex' END AS value,
-  cast(at + CASE doc % 4 WHEN 0 THEN 6 WHEN 1 THEN 9 ELSE 1 END as int) AS "start" FROM ({_PATHS}) p WHERE doc % 4 <> 2""")
+  cast(pos + CASE doc % 4 WHEN 0 THEN 6 WHEN 1 THEN 9 ELSE 1 END as int) AS "start" FROM ({_PATHS}) p WHERE doc % 4 <> 2""")
 def path_narrowing(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    rows = spark.sql(_PATHS.replace("chr(92)", "char(92)")).select("doc", F.col("at").alias("start"), (F.col("at") + F.length("value")).alias("end"), F.lit("file_path").alias("label"), "value")
+    rows = spark.sql(_PATHS.replace("chr(92)", "char(92)")).select("doc", F.col("pos").alias("start"), (F.col("pos") + F.length("value")).alias("end"), F.lit("file_path").alias("label"), "value")
     return policy.narrowed_paths(rows).select("doc", "value", "start")
 
 
@@ -186,9 +186,9 @@ def model_claims(spark, sf_dir):
 
 
 # Gold spans and predictions of a document: predictions miss some, shift some, mislabel some.
-GOLD = f"SELECT doc, seq, \"start\", \"end\", label FROM ({SPANS}) s WHERE doc % 10 = 0"
+GOLD = f"SELECT doc, seq, \"start\", \"end\", label FROM ({SPANS}) s"
 PRED = f"""SELECT doc, seq, cast("start" + doc % 3 as int) AS "start", cast("end" + doc % 3 as int) AS "end", CASE WHEN (doc + seq) % 7 = 0 THEN 'person' ELSE label END AS label FROM ({SPANS}) s
-  WHERE doc % 10 = 0 AND (doc + seq) % 4 <> 0"""
+  WHERE (doc + seq) % 4 <> 0"""
 
 
 def _gold_pred(spark, sf_dir):
