@@ -271,7 +271,7 @@ def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # a row for each possible length at most
     spark = pieces.sparkSession
     plan = spark.createDataFrame(best_fit(histogram, capacity, weights, rule), "_length long, _lo long, _hi long, _sequence long, _each long, _at long")
-    buckets = common.ranges(spark, sum(histogram.values()))
+    buckets = max(1, max(histogram.values(), default=0) // 5_000)  # ranges of the largest class
     keyed = pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece")).withColumn("_b", common.spread(F.col("_h"), buckets))
     order = [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
     rows = common.ranked(keyed, ["length"], "_b", order, "_rank")
