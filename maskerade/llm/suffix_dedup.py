@@ -12,7 +12,8 @@ suffix stands for a run of strings with that token, and carries the hash of the
    several buckets. A bucket sorts its suffixes by multikey quicksort. All but the first of equal ones are repeats,
    and so are all strings they stand for.
 2. A token that has suffixes covering different bytes, or that meets a bucket's edge, may still have equal strings
-   in part of them. The first suffix of each class is compared across classes and bucket boundaries: by token, and
+   in part of them. A string has ``SIDE`` bytes left or right of its token, so a suffix carries a hash of the token
+   with either side, and one that shares neither with another class of its token needs no look. The first suffix of each class is compared across classes and bucket boundaries: by token, and
    string by string, on the bytes themselves. Tokens with more than ``HOT`` classes, and those at an edge, which may
    have classes in several buckets, are dealt by string instead.
 3. Documents gather their repeated stretches; those without any never move.
@@ -35,6 +36,7 @@ from . import common, textbytes
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
 #: Documents from which splitters are taken; suffixes of a bucket; classes of a token that are compared in one task.
 SAMPLE, BUCKET, HOT = 1000, 1_000_000, 1024
 #: Longer documents are worked on in parts of this many bytes.
@@ -72,7 +74,7 @@ def suffixes(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         valid[lo : max(lo, hi - LENGTH + 1)] = True
     none = np.zeros(0, np.int64)
     if not valid.any():
-        return {"text": none, "token": none, "first": none, "last": none, "lead": none.astype(np.uint64), "cover": none.astype(np.uint64)}
+        return {"text": none, "token": none, "first": none, "last": none, "lead": none.astype(np.uint64), "cover": none.astype(np.uint64), "sides": none}
     hashes = textbytes.Hasher(raw).raw_windows(GRAM)
     least = (hashes & ~np.uint64((1 << _PLACE) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
@@ -90,7 +92,12 @@ def suffixes(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     lead = np.zeros(len(token), np.uint64)
     for k in range(5):
         lead = (lead << np.uint64(8)) | raw[token + k]
-    cover = textbytes.Hasher(raw, _SECOND)(first, last + LENGTH)
+    second = textbytes.Hasher(raw, _SECOND)
+    cover = second(first, last + LENGTH)
+    sides = np.zeros(len(token), np.uint64)
+    left, right = np.flatnonzero(token - first >= SIDE), np.flatnonzero(last + LENGTH - token - GRAM >= SIDE)  # 0: no string reaches so far
+    sides[left] |= (second(token[left] - SIDE, token[left] + GRAM) >> np.uint64(32)) | np.uint64(1)
+    sides[right] |= ((second(token[right], token[right] + GRAM + SIDE) >> np.uint64(32)) | np.uint64(1)) << np.uint64(32)
     return {
         "text": np.searchsorted(at, first, "right") - 1,
         "token": token,
@@ -98,6 +105,7 @@ def suffixes(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         "last": last,
         "lead": (lead << np.uint64(24)) | (hashes[token] >> np.uint64(40)),
         "cover": textbytes.mixed(cover + (token - first).astype(np.uint64)),
+        "sides": sides.view(np.int64),
     }
 
 
@@ -126,10 +134,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
     for raw, at, row, base in _parts(buf, offsets):
         s = suffixes(raw, at)
         place = s["token"] - at[s["text"]] + base
-        yield {"lead": s["lead"], "cover": s["cover"], "did": dids[row + s["text"]], "packed": _packed(place, s["token"] - s["first"], s["last"] - s["first"])}
+        yield {"lead": s["lead"], "cover": s["cover"], "did": dids[row + s["text"]], "packed": _packed(place, s["token"] - s["first"], s["last"] - s["first"]), "sides": s["sides"]}
 
 
-_KEYS = ("lead", "cover", "did", "packed")
+_KEYS = ("lead", "cover", "did", "packed", "sides")
 
 
 @textbytes.lean
@@ -195,11 +203,19 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     new_lead[1:] = lead[1:] != lead[:-1]
     new[1:] = new_lead[1:] | (cover[1:] != cover[:-1])
     token = np.cumsum(new_lead) - 1
-    classes = np.bincount(token, weights=new)
-    kind = np.where(classes > HOT, STRING, np.where(classes > 1, CLASS, REPEAT))
+    alike = np.zeros(len(order), bool)
+    sides = r["sides"].view(np.uint64)[order]
+    first_of = np.flatnonzero(new)
+    for side in (sides[first_of] >> np.uint64(32), sides[first_of] & np.uint64(0xFFFFFFFF)):
+        some = first_of[side > 0]
+        _, back, times = np.unique(textbytes.mixed((token[some].astype(np.uint64) << np.uint64(32)) | side[side > 0]), return_inverse=True, return_counts=True)
+        alike[some] |= times[back] > 1
+    alike |= new & ((token == 0) | (token == token[-1]))  # an edge's token may have classes elsewhere
+    classes = np.bincount(token, weights=alike)
+    kind = np.where(classes > HOT, STRING, CLASS)
     kind[[0, -1]] = STRING
     kind = kind[token]
-    more = new & (kind != REPEAT)
+    more = alike
     did, packed = r["did"][order], r["packed"][order]
     first, last = _unpacked(packed[~new])
     columns = [
@@ -345,7 +361,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = max(parts, len(order) * max(1, n // SAMPLE) // BUCKET)
     picks = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else np.zeros(0, np.int64)
     splitters = np.stack([sample[k].to_numpy()[picks] for k in ("lead", "cover", "did")], axis=1) if len(picks) else np.zeros((0, 3), np.int64)
-    dealt = texts.mapInArrow(lambda it: _deal(it, splitters), "bucket int, lead binary, cover binary, did binary, packed binary")
+    dealt = texts.mapInArrow(lambda it: _deal(it, splitters), "bucket int, lead binary, cover binary, did binary, packed binary, sides binary")
     found = common.pin(dealt.groupBy("bucket").applyInArrow(_sort_bucket, FOUND))
     classes = found.filter(F.col("kind") != REPEAT).select("did", F.struct(F.col("a").alias("key"), F.col("b").alias("packed"), (F.col("kind") == STRING).alias("hot")).alias("s"))
     wanted = common.pin(classes.groupBy("did").agg(F.collect_list("s").alias("suffixes")))  # at most a document's suffixes
