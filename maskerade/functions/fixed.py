@@ -163,3 +163,11 @@ LEDGER_STOP_WORDS = frozenset(
     " solde achat paiement retrait frais cheque chèque facture remboursement retour total balance".split()
 )
 HONORIFICS = frozenset("mme mlle mr mrs ms dr madame monsieur".split())
+
+# Words that a person's name never grows over and that aren't propagated.
+STATUS_WORDS = frozenset(
+    "error errors warning warn info debug trace fatal panic exception traceback failed failure fail retry retrying timeout denied invalid unknown null none true"
+    " false undefined nan success started stopped killed deprecated todo fixme notice pending alert critical severe erreur erreurs avertissement attention reessayer"
+    " réessayer succes succès echec échec demarre démarré arrete arrêté termine terminé annulation refuse refusé valide validé expire expiré".split()
+)
+PROPAGATED_LABELS, PROPAGATED_CONF = ("person", "organization", "username", "address"), 0.75

@@ -55,11 +55,12 @@ class Rule:
     rename: Callable[[Match], Column] | None = None
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of all matches."""
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """Array of (start, end, value) of all matches; the pattern may differ by row, null matching nothing."""
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
     found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"),
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
+        F.regexp_extract_all(text, pattern, F.lit(group)).alias("v"),
         F.split(text, pattern, -1).alias("g"),
     )
 
@@ -72,7 +73,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step, lambda acc: acc["out"])
 
-    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(F.rlike(text, pattern), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def scan(text: Column, rule: Rule) -> Column:

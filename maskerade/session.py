@@ -1,4 +1,4 @@
-"""Making this package importable on executors."""
+"""What jobs need of the session: the package on executors, bounded batches, saved cut points."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pathlib
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Python gets batches of at most so many bytes: rows are documents, of any length.
 BATCH, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
@@ -33,3 +33,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
     if bytes_of(spark.conf.get(BATCH, "64m")) > bytes_of(MOST):
         spark.conf.set(BATCH, MOST)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Writes the rows to the cluster's checkpoint folder and continues from there.
+
+    It cuts lineage, survives lost executors, and what two consumers share is computed once. The folder is
+    ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a temporary one is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint(eager=True)
