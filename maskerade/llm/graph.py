@@ -16,11 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = common.pin(links.filter("a <> b").select("a", "b").distinct())
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("component"))
+    rounds = 0
     while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        least = common.pin(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        least = links.union(links.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         to_a, to_b = least.select("a", F.col("to").alias("_a")), least.select(F.col("a").alias("b"), F.col("to").alias("_b"))
+        labels = labels.join(least.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         links = common.pin(links.join(to_a, "a").join(to_b, "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-        moved = least.select(F.col("a").alias("component"), "to")
-        labels = common.pin(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        rounds += 1
+        if rounds % 3 == 0:  # rounds read pinned links, so that only now and then labels need a cut of their own
+            labels = common.pin(labels)
     return labels

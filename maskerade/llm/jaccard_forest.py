@@ -253,7 +253,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, tr
     parts = common.shuffle_partitions(docs.sparkSession)
     dealt = units.repartition(parts, *_Units.KEYS).sortWithinPartitions(*_Units.KEYS)
     wanted = common.pin(dealt.mapInArrow(_with_pairs, units.schema))
-    ids = common.small(common.pin(wanted.select("doc_id").distinct()), 200_000)
+    ids = common.small(wanted.select("doc_id").distinct(), 200_000)
     texts = texts.join(ids, "doc_id", "left_semi")
     dealt = wanted.join(texts, "doc_id").repartition(parts, *_Units.KEYS).sortWithinPartitions(*_Units.KEYS, "node")
     found = common.pin(dealt.mapInArrow(lambda it: _verify(it, width, threshold), "node long, root long, n_texts long, n_docs long"))
@@ -274,5 +274,5 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, tr
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class stays, with all its columns: the one of the least doc_id."""
-    gone = common.pin(join(docs, **options).filter("doc_id <> class_id").select("doc_id").distinct())
+    gone = common.pin(join(docs, **options)).filter("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(common.small(gone, 200_000), "doc_id", "left_anti").select(*docs.columns)
