@@ -57,3 +57,21 @@ def parity(pairs: DataFrame) -> DataFrame:
     top = lambda x: F.array_position(x, F.array_max(x))
     cosine = dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
     return pairs.select("id", cosine.alias("cosine"), (top(F.col("a")) == top(F.col("b"))).alias("agrees"))
+
+
+def macro_micro(scores: DataFrame) -> DataFrame:
+    """F1 over labels and over spans, from ``by_label``."""
+    micro_p, micro_r = F.try_divide(F.sum("right"), F.sum("pred")), F.try_divide(F.sum("labelled"), F.sum("gold"))
+    made = scores.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), micro_p.alias("p"), micro_r.alias("r"))
+    return made.select("macro_f1", F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 6).alias("micro_f1"))
+
+
+def scorecard(replayed: DataFrame) -> DataFrame:
+    """Of replayed fixtures (name, text, redacted, restored, must, benign): leaks, benign words redacted, round trips."""
+    shown = lambda words: F.filter(words, lambda w: F.contains("redacted", w))
+    return replayed.select(
+        "name",
+        F.size(shown(F.col("must"))).alias("leaks"),
+        (F.size("benign") - F.size(shown(F.col("benign")))).alias("over_redacted"),
+        (F.col("restored") == F.col("text")).alias("round_trip"),
+    )

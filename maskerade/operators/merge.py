@@ -142,3 +142,20 @@ def clip_inactive(spans: DataFrame, *keys: str) -> DataFrame:
 def activity(spans: DataFrame) -> DataFrame:
     """Spans and active spans of each label, most first."""
     return spans.groupBy("label").agg(F.count("*").alias("total"), F.count_if("active").alias("active")).orderBy(F.desc("total"), "label")
+
+
+def with_manual(auto: DataFrame, manual: DataFrame, *keys: str) -> DataFrame:
+    """Spans of both tables (keys, seq, start, end, label, active): a manual span that is active blocks the automatic ones it overlaps."""
+    m = manual.filter("active").select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    same = [F.col(f"a.{k}") == F.col(f"m.{k}") for k in keys]
+    hit = (F.col("a.start") < F.col("m._e")) & (F.col("m._s") < F.col("a.end"))
+    for c in same:
+        hit = hit & c
+    free = auto.alias("a").join(m.alias("m"), hit, "left_anti")
+    return free.withColumn("source", F.lit("auto")).unionByName(manual.withColumn("source", F.lit("manual")))
+
+
+def explained(spans: DataFrame) -> DataFrame:
+    """Where spans come from, without their values: what may be logged."""
+    keep = [c for c in spans.columns if c not in ("value", "text")]
+    return spans.select(*(F.round("conf", 3).alias("conf") if c == "conf" else F.col(c) for c in keep))

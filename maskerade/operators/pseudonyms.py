@@ -144,3 +144,18 @@ def session_id(header: Column, system: Column, tenant: Column | None = None) ->
     hashed = F.concat(F.lit("sys-"), F.coalesce(F.concat(tenant, F.lit("-")), F.lit("")) if tenant is not None else F.lit(""), F.substring(F.sha2(system, 256), 1, 32))
     return F.coalesce(F.nullif(F.trim(header), F.lit("")), F.when(F.length(F.trim(system)) > 0, hashed))
 
+
+
+def restored_whole(text: Column, values: Column) -> Column:
+    """Restored text; fails if a placeholder is left that the map lacks."""
+    lacking = F.filter(placeholders(text), lambda p: ~F.array_contains(F.map_keys(values), p))
+    return F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("no value for "), F.array_join(lacking, ", ")))).otherwise(restored(text, values))
+
+
+def frozen(texts: DataFrame, memo: DataFrame, compute) -> DataFrame:
+    """Redacted texts (session, text, redacted): from the memo (session, hash, redacted) if it has the text's hash, computed
+    by ``compute`` otherwise, so that what a turn was first sent as is what it is always sent as."""
+    keyed = texts.withColumn("hash", F.sha2("text", 256))
+    known = keyed.join(memo.select("session", "hash", "redacted"), ["session", "hash"])
+    new = compute(keyed.join(memo, ["session", "hash"], "left_anti"))
+    return known.select("session", "text", "redacted").unionByName(new.select("session", "text", "redacted"))

@@ -205,3 +205,13 @@ def streamed_restore(spark, sf_dir):
 
 
 ORACLE_SQL["streamed_restore"] = "SELECT DISTINCT cast(conv_id as string) AS stream_id, 'Dear n' || cast(conv_id as string) || ', a < b and a@b.c! <PERSON_002>' AS text FROM conversations"
+
+
+@query("SELECT conv_id AS session, turn, CASE WHEN turn = 0 THEN 'frozen ' || cast(conv_id as string) ELSE 'now <X_001>' END AS redacted FROM conversations")
+def frozen_turns(spark, sf_dir):
+    """Turns sent before keep the redacted text that they had; others are redacted by today's map."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    texts = c.select(F.col("conv_id").alias("session"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("text"))
+    memo = c.select(F.col("conv_id").alias("session")).distinct().select("session", F.sha2(F.lit("turn 0"), 256).alias("hash"), F.concat(F.lit("frozen "), F.col("session").cast("string")).alias("redacted"))
+    out = pseudonyms.frozen(texts, memo, lambda new: new.withColumn("redacted", F.lit("now <X_001>")))
+    return out.select("session", F.regexp_extract("text", r"\d+", 0).cast("long").alias("turn"), "redacted")

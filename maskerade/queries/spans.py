@@ -242,3 +242,28 @@ def logit_parity(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     pairs = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("b")), "id")
     return evaluate.parity(pairs).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"SELECT * FROM (SELECT round(avg(f1), 6) AS macro_f1, round(2 * (sum(\"right\") / sum(pred)) * (sum(labelled) / sum(gold)) / (sum(\"right\") / sum(pred) + sum(labelled) / sum(gold)), 6) AS micro_f1 FROM ({_PRF}) q) q")
+def macro_micro_f1(spark, sf_dir):
+    return evaluate.macro_micro(eval_label_prf(spark, sf_dir))
+
+
+_AUTO = f"SELECT doc, seq, \"start\", \"end\", label, true AS active FROM ({SPANS}) s WHERE seq % 3 <> 0"
+_MANUAL = f"SELECT doc, seq, \"start\", \"end\", 'manual' AS label, seq % 2 = 0 AS active FROM ({SPANS}) s WHERE seq % 3 = 0"
+
+
+@query(f"""WITH a AS ({_AUTO}), m AS ({_MANUAL}) SELECT doc, seq, "start", "end", label, 'auto' AS source FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc = a.doc AND m.active AND m."start" < a."end" AND a."start" < m."end")
+UNION ALL SELECT doc, seq, "start", "end", label, 'manual' FROM m""")
+def combine_manual(spark, sf_dir):
+    """Two disjoint sets of spans of all documents, automatic and manual."""
+    rows = _lineitem(spark, sf_dir).select("doc", "seq", "start", "end", "label")
+    auto = rows.filter("seq % 3 <> 0").withColumn("active", F.lit(True))
+    manual = rows.filter("seq % 3 = 0").withColumn("label", F.lit("manual")).withColumn("active", F.col("seq") % 2 == 0)
+    return merge.with_manual(auto, manual, "doc").select("doc", "seq", "start", "end", "label", "source")
+
+
+@query(f"SELECT doc, seq, \"start\", \"end\", label, tier, round(conf, 3) AS conf, rule FROM ({SPANS}) s")
+def explain_spans(spark, sf_dir):
+    rows = merge.explained(_lineitem(spark, sf_dir).withColumn("value", F.lit("secret")))
+    return rows.select(*(c for c in rows.columns if c != "validator"))

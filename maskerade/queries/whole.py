@@ -111,3 +111,16 @@ def generated_windows(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     cut = labelling.windowed(labelling.generated(spark, n), "id")
     return cut.select("id", "chunk_no", "n_cut", F.size("spans").alias("n_spans"), F.size(F.filter(labelling.token_tags(F.col("text"), F.col("spans")), lambda t: t["tag"] != "O")).alias("n_tagged"))
+
+
+@query("SELECT c_custkey, 0 AS leaks, 0 AS over_redacted, true AS round_trip FROM customer")
+def replay_scorecard(spark, sf_dir):
+    """Fixtures replayed through the whole way: what must go is gone, what is benign stays, restoring gives the text back."""
+    from ..operators import pseudonyms
+
+    ship(spark)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    mail, card = F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.org")), F.lit("4111 1111 1111 1111")
+    docs = c.select("c_custkey", F.concat(F.lit("build 1.2.3 of core@0.2.0 by "), mail, F.lit(", card "), card, F.lit(" ok")).alias("text"), F.array(mail, card).alias("must"), F.array(F.lit("core@0.2.0"), F.lit("1.2.3")).alias("benign"))
+    red = redaction.redact(docs).withColumn("restored", pseudonyms.restored_whole(F.col("redacted"), F.col("restore"))).withColumnRenamed("c_custkey", "name")
+    return evaluate.scorecard(red).withColumnRenamed("name", "c_custkey")

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskerade.functions.spans import SPAN
-from maskerade.operators import bodies, corpus, growth, labelling, merge, policy, tagging, walk
+from maskerade.operators import bodies, corpus, growth, labelling, merge, policy, pseudonyms, tagging, walk
 from maskerade.plans import redaction
 from maskerade.session import ship
 from maskerade.sources import files, office
+from maskerade.streaming import restore
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -171,3 +172,21 @@ def test_path_policy(spark):
 def test_merge_of_nothing(spark):
     df = spark.createDataFrame([(1, [])], f"i long, spans array<{SPAN}>")
     assert df.select(merge.merge(F.col("spans")).alias("m")).first()["m"] == []
+
+
+def test_unresolved_placeholders_fail(spark):
+    df = spark.createDataFrame([("a <X_001> <Y_001>",)], "text string")
+    good = F.create_map(F.lit("<X_001>"), F.lit("1"), F.lit("<Y_001>"), F.lit("2"))
+    assert df.select(pseudonyms.restored_whole(F.col("text"), good)).first()[0] == "a 1 2"
+    with pytest.raises(Exception, match="no value for <Y_001>"):
+        df.select(pseudonyms.restored_whole(F.col("text"), F.create_map(F.lit("<X_001>"), F.lit("1")))).collect()
+
+
+def test_tool_arguments_come_whole(spark, tmp_path):
+    schema = "stream_id string, block int, seq long, text string, restore map<string,string>, final boolean"
+    text = '{"path": "<PATH_001>", "n": 1}'
+    rows = [(s, 0, k, text[k * 9 : k * 9 + 9], {"<PATH_001>": s}, k == 3) for s in ("x", "y") for k in (2, 0, 3, 1)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = restore.gathered(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("gathered").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r["stream_id"], r["text"]) for r in spark.table("gathered").collect()} == {(s, text.replace("<PATH_001>", s)) for s in ("x", "y")}
