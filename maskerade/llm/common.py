@@ -18,7 +18,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Marks a pinned table for broadcast if it has at most ``rows`` rows; a larger one joins by shuffle."""
+    """Marks a table that is cheap to make again for broadcast if it has at most ``rows`` rows; a larger one joins by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -54,7 +54,7 @@ def ranked(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Co
     )
     within = Window.partitionBy(*groups, bucket).orderBy(*order)
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate([*groups, bucket])]
-    joined = df.withColumn("_in", F.row_number().over(within) - 1).join(small(pin(ranges)), on=_all(same), how="inner")
+    joined = df.withColumn("_in", F.row_number().over(within) - 1).join(small(ranges), on=_all(same), how="inner")
     joined = joined.withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
     joined = joined.withColumn(total, F.col("_all").cast("long")) if total else joined
     return joined.drop("_in", "_before", "_all", *(f"_g{i}" for i in range(len(groups) + 1)))

@@ -90,7 +90,7 @@ REST = "struct<k:bigint,doc_id:bigint,size:bigint,p:double>"
 DONE = "array<struct<doc_id:bigint,size:bigint,take:int>>"
 
 
-def _tree(live: DataFrame, most: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+def _tree(live: DataFrame, most: int, sources: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
     """Settles all rows: the settled ones of each level, and by source the words the last one is off by."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     chunk = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / CHUNK))
@@ -100,7 +100,8 @@ def _tree(live: DataFrame, most: int, seed: int) -> tuple[list[DataFrame], DataF
         met = live.groupBy("_s", "_c").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
             "_s", "_c", F.aggregate("xs", F.struct(F.lit(None).cast(REST).alias("rest"), F.array().cast(DONE).alias("done")), _meet(level, seed)).alias("m")
         )
-        met = common.pin(met.select("_s", "_c", F.col("m.rest").alias("x"), F.col("m.done").alias("done")))
+        met = met.select("_s", "_c", F.col("m.rest").alias("x"), F.col("m.done").alias("done"))
+        met = common.pin(met.coalesce(1 + width * sources // 100) if level else met)  # upper levels are few rows
         settled.append(met.select("_s", F.explode("done").alias("d")).select("_s", "d.doc_id", "d.size", "d.take"))
         live = met.select("_s", F.floor(F.col("_c") / CHUNK).alias("_c"), "x")
         if width <= 1:
@@ -115,27 +116,29 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     """doc_id, size, source_size, target and ``copies`` for each row of (doc_id, source, size)."""
     sizes = common.pin(sizes)
     stats = common.pin(targets(sizes, weights, cap).withColumn("_s", F.monotonically_increasing_id()))
-    most = stats.agg(F.max("n")).first()[0] or 0
+    sources, most = stats.agg(F.count("*"), F.max("n")).first()
+    most = most or 0
+    near = F.broadcast if sources <= 20_000 else lambda df: df  # tables with a row a source; more of them join by shuffle
     facts = stats.select(F.col("source").alias("_source"), "_s", "n", "source_size", "target")
     want = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = sizes.join(common.small(facts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_want", want)
+    rows = sizes.join(near(facts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_want", want)
     rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
     open_ = (F.col("size") > 0) & (F.col("_p") > 1e-12)
     settled = [rows.filter(~open_).select("_s", "doc_id", "size", F.lit(0).alias("take"))]
     live = rows.filter(open_).withColumn("_long", F.col("size") > F.col("source_size") / F.col("n"))
-    parts, last = _tree(live.filter("_long"), most, seed)
+    parts, last = _tree(live.filter("_long"), most, sources, seed)
     settled += parts
     shift = live.filter("not _long").groupBy("_s").agg(F.sum("size").alias("_mass")).join(last, "_s")
     shift = shift.select(F.col("_s").alias("_t"), (F.col("_off") / F.col("_mass")).alias("_shift"))
-    short = live.filter("not _long").join(common.small(common.pin(shift)), F.col("_s") == F.col("_t"), "left")
+    short = live.filter("not _long").join(near(shift), F.col("_s") == F.col("_t"), "left")
     moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p") + F.coalesce(F.col("_shift"), F.lit(0.0))))
-    settled += _tree(short.withColumn("_p", moved), most, seed)[0]
+    settled += _tree(short.withColumn("_p", moved), most, sources, seed)[0]
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
     wholes = facts.select("_s", "source_size", "target", F.floor(want + 1e-12).alias("_whole"))
     copies = (F.col("_whole") + F.col("take")).cast("long")
-    return done.join(common.small(common.pin(wholes)), "_s").select("doc_id", "size", F.col("source_size").cast("long"), "target", F.least(copies, F.lit(int(cap)).cast("long")).alias("copies"))
+    return done.join(near(wholes), "_s").select("doc_id", "size", F.col("source_size").cast("long"), "target", F.least(copies, F.lit(int(cap)).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
