@@ -32,7 +32,7 @@ def dedup_md5(spark, sf_dir):
     return corpus.deduplicated(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_chars")
 
 
-@query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+@query("SELECT lang, source, count(*) AS n, cast(sum(n_chars) as bigint) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def lang_split(spark, sf_dir):
     _table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return spark.sql("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
