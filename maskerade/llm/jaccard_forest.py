@@ -262,6 +262,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, tr
     named = groups.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     facts = nodes.select("node", "copies", F.col("doc_id").alias("first")).join(linked, "node", "left")
     facts = facts.join(groups.join(named, "component").select("node", "class_id"), "node", "left")
+    facts = common.pin(facts)  # so that both sides of the join are plain exchanges, and a hot node's rows can be split
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return signed.select("doc_id", "node").join(facts, "node", "left").select(
         "doc_id",
