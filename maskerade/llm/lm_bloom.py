@@ -1,18 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised to levels, level j standing for counts from ``BASE ** (j - 1)`` times
-the least count held. The filter holds (n-gram, 1), ..., (n-gram, its level); a count is read back by asking for
-level 1, 2, ... until one is missing. It holds n-grams of at least the share ``HELD`` of all tokens, at every size
-of input alike: there are at most 1 / HELD of them of each order, so what is broadcast has a bound that no corpus
-exceeds. The score interpolates: P(w | u) = PAIR c(u w) / c(u) + (1 - PAIR) P(w), with P(w) its share, and for words
-that the filter lacks an equal part of the share that it lacks.
+Counts of words and word pairs are quantised to levels, level j standing for counts from ``BASE ** (j - 1)``. The
+filter holds (n-gram, 1), ..., (n-gram, its level); a count is read back by asking for level 1, 2, ... until one is
+missing. It holds every word and word pair that occurs, however large the corpus, in parts by n-gram hash. Pairs of at
+least the share ``HELD`` of all tokens and words of at least ``FREQUENT`` are broadcast besides (at most 1 / share of
+them); all others are asked of their part by shuffle, a row of packed hashes for each stretch of text and part, and the
+levels go back to the stretch. These shares say what travels how, not what is known. The score interpolates:
+P(w | u) = PAIR c(u w) / c(u) + (1 - PAIR) P(w), with P(w) its share, and for words never met that of the exact base.
 
-Beside it stands the exact unigram base. Words of at least the share ``FREQUENT`` are counted from a broadcast table
-(again at most 1 / FREQUENT of them); all others meet their exact counts by shuffle, dealt by hash, a row of packed
-arrays for each stretch of text and bucket.
+Beside it stands the exact unigram base, from the broadcast words and from the exact counts that the rarer words meet
+in their parts.
 
 Counts are over the whole texts of all documents learnt from: tasks count what they hold, buckets of hashes sum up.
-Tokens are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, pairs by their bucket and 48 bits.
 
 Defined results: null and empty text is its end token alone; a null doc_id counts as an empty one; repeated rows
 count and are scored each; with nothing to learn from, N and V are 0 and every count is 0; other columns are ignored.
@@ -21,6 +21,7 @@ count and are scored each; with nothing to learn from, N and V are 0 and every c
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common, textbytes
 
 HELD, FREQUENT, BASE, PAIR = 5e-7, 5e-7, 2.0, 0.4
+#: Pairs of fewer occurrences are never broadcast.
+FEWEST = 2
 #: Filter bits for each (n-gram, level), and bits set for one.
 BITS, PROBES = 16, 4
 #: Tokens that a task counts before it emits.
@@ -70,15 +73,36 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The low 48 bits of each hash."""
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: pa.Buffer | bytes) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :6] = flat
+    return out.reshape(-1).view("<u8")
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    return h & np.uint64((1 << 48) - 1)
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """The level of each count, 0 for 0."""
+    return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64) + 1, 0)
+
+
 def _blobs(kind: int, h: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple]:
     edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist():
         lo, hi = edges[k], edges[k + 1]
-        yield kind, k, h[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes()
+        yield kind, k, _packed(h[lo:hi]) if kind == PAIRS else h[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes()
 
 
 COUNTED = "kind int, bucket int, h binary, n binary"
-MERGED = "kind int, bucket int, types long, total long, h binary, n binary"
+MERGED = "kind int, bucket int, types long, total long, h binary, n binary, filter binary"
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -108,9 +132,9 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     yield from rows()
 
 
-def _arrays(h: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(kind: int, h: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of packed parts summed by hash."""
-    hs = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in h] or [np.zeros(0, np.uint64)])
+    hs = np.concatenate([_unpacked(x.as_buffer()) if kind == PAIRS else np.frombuffer(x.as_buffer(), np.uint64) for x in h] or [np.zeros(0, np.uint64)])
     ns = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in n] or [np.zeros(0, "<u4")]).astype(np.int64)
     order = np.argsort(hs, kind="stable")
     hs, ns = hs[order], ns[order]
@@ -120,21 +144,28 @@ def _arrays(h: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 @textbytes.lean
 def _merge(table: pa.Table) -> pa.Table:
-    h, n = _arrays(table.column("h"), table.column("n"))
+    """Words with their counts; of pairs the part of the filter that holds them all, and those that may be broadcast with their levels."""
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    kept = n >= (2 if kind == PAIRS else 1)  # a pair met once is never held beside FREQUENT words
-    row = (kind, bucket, len(h), int(n.sum()), h[kept].tobytes(), n[kept].astype("<i8").tobytes())
-    return pa.table({k: pa.array([v], t) for k, v, t in zip(("kind", "bucket", "types", "total", "h", "n"), row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+    h, n = _arrays(kind, table.column("h"), table.column("n"))
+    if kind == PAIRS:
+        some = n >= FEWEST
+        blobs = _packed(h[some]), _levels(n[some]).astype(np.uint8).tobytes(), Filter([(h, n)], 1).dump()
+    else:
+        blobs = h.tobytes(), n.astype("<i8").tobytes(), b""
+    row = (kind, bucket, len(h), int(n.sum()), *blobs)
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+    return pa.table({k: pa.array([v], t) for k, v, t in zip(("kind", "bucket", "types", "total", "h", "n", "filter"), row, types, strict=True)})
 
 
 @textbytes.lean
 def _least(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of at least a count."""
+    """Words of at least a count; pairs of at least a level."""
     for batch in batches:
         for kind, h, n in zip(batch.column("kind").to_pylist(), batch.column("h"), batch.column("n"), strict=True):
-            n = np.frombuffer(n.as_buffer(), "<i8")
+            h = _unpacked(h.as_buffer()) if kind == PAIRS else np.frombuffer(h.as_buffer(), np.uint64)
+            n = np.frombuffer(n.as_buffer(), np.uint8 if kind == PAIRS else "<i8").astype("<i8")
             some = n >= least[kind]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "h": pa.array([np.frombuffer(h.as_buffer(), np.uint64)[some].tobytes()]), "n": pa.array([n[some].tobytes()])})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "h": pa.array([h[some].tobytes()]), "n": pa.array([n[some].tobytes()])})
 
 
 class Filter:
@@ -152,13 +183,23 @@ class Filter:
                 for place in self._places(h[level >= j], j):
                     np.bitwise_or.at(self.table, place >> np.uint64(3), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
 
+    def dump(self) -> bytes:
+        return np.array([self.least, self.bits, self.most], "<i8").tobytes() + self.table.tobytes()
+
+    @classmethod
+    def load(cls, raw: pa.Buffer | bytes) -> Filter:
+        out = cls.__new__(cls)
+        out.least, out.bits, out.most = np.frombuffer(raw, "<i8", 3).tolist()
+        out.table = np.frombuffer(raw, np.uint8, offset=24)
+        return out
+
     def _places(self, h: np.ndarray, level: int) -> list[np.ndarray]:
         x = textbytes.mixed(h + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
         step = (x >> np.uint64(17)) | np.uint64(1)
         return [((x + step * np.uint64(i * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - self.bits)) for i in range(PROBES)]
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The quantised counts of n-grams, 0 for those that it lacks."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The levels of n-grams above the least count, 0 for those that it lacks."""
         level = np.zeros(len(h), np.int64)
         live = np.arange(len(h))
         for j in range(1, self.most + 1):
@@ -171,19 +212,22 @@ class Filter:
             if not len(live):
                 break
             level[live] = j
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The quantised counts of n-grams, 0 for those that it lacks."""
+        level = self.levels(h)
         return np.where(level > 0, self.least * BASE ** (level - 1) * (1 + BASE) / 2, 0.0)
 
 
 class Model:
-    """Totals, the table of frequent words, the filter."""
+    """Totals, the table of frequent words, the filter's part that is broadcast."""
 
-    def __init__(self, total: int, types: int, frequent: tuple[np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], least: int):
+    def __init__(self, total: int, types: int, words: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], least: dict[int, int]):
         self.total, self.types = total, types
-        order = np.argsort(frequent[0])
-        self.words, self.word_counts = frequent[0][order], frequent[1][order]
-        self.filter = Filter(held, least)
-        covered = float(held[UNIGRAM][1].sum())
-        self.rest = max(total - covered, 1.0) / max(total, 1) / (types - len(held[UNIGRAM][0]) + 1)
+        order = np.argsort(words[0])
+        self.words, self.word_counts = words[0][order], words[1][order]
+        self.filters = [Filter([words], least[UNIGRAM]), Filter([two], least[PAIRS])]
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
@@ -192,64 +236,82 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, self.word_counts[at], 0)
 
-    def log_base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 1.0) / (self.total + self.types + 1.0))
-
-    def log_model(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
+    def levels(self, kind: int, h: np.ndarray) -> np.ndarray:
+        """Levels of frequent n-grams, 0 for others."""
         one, back = np.unique(h, return_inverse=True)
-        alone = self.filter.counts(one)
-        p = np.where(alone > 0, alone / max(self.total, 1), self.rest)[back]
-        two, back_two = np.unique(pairs(h, at), return_inverse=True)
-        both = self.filter.counts(two)[back_two]
-        before = np.empty(len(h))
-        before[1:] = alone[back][:-1]
-        before[at[:-1]] = alone[back][at[1:] - 1]  # as many begin as end
-        return np.log10(PAIR * np.where((both > 0) & (before > 0), np.minimum(both / np.maximum(before, 1.0), 1.0), 0.0) + (1 - PAIR) * np.minimum(p, 1.0))
+        level = self.filters[kind].levels(one)
+        return np.where(level > 0, level + _levels(np.array([self.filters[kind].least]))[0] - 1, 0)[back]
+
+
+def log_base(n: np.ndarray, total: int, types: int) -> np.ndarray:
+    return np.log10((n + 1.0) / (total + types + 1.0))
+
+
+def log_model(alone: np.ndarray, both: np.ndarray, at: np.ndarray, total: int, types: int) -> np.ndarray:
+    """log10 P of each token after the one before it, by the levels of words and pairs."""
+    count = np.concatenate(([0.0], BASE ** np.arange(255) * (1 + BASE) / 2))
+    p = np.where(alone > 0, count[alone] / max(total, 1), 1.0 / (total + types + 1.0))
+    before = np.empty(len(alone))
+    before[1:] = count[alone][:-1]
+    before[at[:-1]] = count[alone][at[1:] - 1]  # as many begin as end
+    return np.log10(PAIR * np.where((both > 0) & (before > 0), np.minimum(count[both] / np.maximum(before, 1.0), 1.0), 0.0) + (1 - PAIR) * np.minimum(p, 1.0))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the pinned table of all exact word counts in buckets."""
+    """The model, and the pinned table of all exact word counts and of the filter, in buckets."""
     buckets = max(12, common.shuffle_partitions(docs.sparkSession))
     counted = docs.filter(train_part()).select("text").mapInArrow(lambda it: _count(it, buckets), COUNTED)
     merged = common.pin(counted.groupBy("kind", "bucket").applyInArrow(_merge, MERGED))
     sums = merged.filter(F.col("kind") == UNIGRAM).agg(F.sum("total"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)
-    least = max(2, math.ceil(HELD * total))
-    floor = {UNIGRAM: min(least, max(1, math.ceil(FREQUENT * total))), PAIRS: least}
+    # powers of the base, so that levels are the same wherever they are read
+    power = {k: max(low, math.ceil(math.log(max(1.0, share * total), BASE) - 1e-9)) for k, share, low in ((UNIGRAM, FREQUENT, 0), (PAIRS, HELD, round(math.log(FEWEST, BASE))))}
+    least = {k: round(BASE**x) for k, x in power.items()}
+    floor = {UNIGRAM: least[UNIGRAM], PAIRS: power[PAIRS] + 1}
     found: dict[int, list] = {UNIGRAM: [], PAIRS: []}
-    for r in merged.mapInArrow(lambda it: _least(it, floor), "kind int, h binary, n binary").collect():  # at most 1 / share n-grams of an order
+    for r in merged.select("kind", "h", "n").mapInArrow(lambda it: _least(it, floor), "kind int, h binary, n binary").collect():  # at most 1 / share n-grams of an order
         found[r["kind"]].append((np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], "<i8")))
     join = lambda parts: tuple(np.concatenate([p[i] for p in parts] or [np.zeros(0, (np.uint64, np.int64)[i])]) for i in (0, 1))
-    words, two = join(found[UNIGRAM]), join(found[PAIRS])
-    held = words[1] >= least
-    return Model(total, types, words, [(words[0][held], words[1][held]), two], least), merged.filter(F.col("kind") == UNIGRAM)
+    words, (two, level) = join(found[UNIGRAM]), join(found[PAIRS])
+    return Model(total, types, words, (two, BASE ** (level - 1.0)), least), merged
+
 
+#: VOCABULARY and FILTER are a bucket's words and pairs, the others what a stretch of text asks of it, and the stretch itself.
+VOCABULARY, FILTER, WORDS, TWO, DOCUMENT = range(5)
+#: Stands for a level that is asked for.
+ASKED = 255
+ROUTED = "kind int, bucket int, stretch long, h binary, n binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-VOCABULARY, RARE, DOCUMENT = 0, 1, 2
-SCORED = "kind int, bucket int, h binary, n binary, doc binary, score binary"
-PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "bucket", "stretch", "h", "n"), columns, types, strict=True)})
 
 
 @textbytes.lean
-def _score(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per stretch: its documents' own rows, and by bucket the words whose counts are elsewhere."""
+def _ask(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per stretch: its documents with the levels known here, and by bucket the words and pairs whose counts are elsewhere."""
     part = TaskContext.get().partitionId()
-    row = part << 40
-    names, types = ["kind", "bucket", "h", "n", "doc", "score"], [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    rare_h: list[np.ndarray] = []
-    rare_row: list[np.ndarray] = []
+    stretch, size = part << 40, 0
+    held: dict[str, list[np.ndarray]] = {}
 
     def flush():
-        h, r = np.concatenate(rare_h), np.concatenate(rare_row)
-        rare_h.clear(), rare_row.clear()
-        base, bucket = int(r[0]), _bucket(h, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        r = (r - base).astype("<u4")
-        rows = [(RARE, k, h[s].tobytes(), r[s].tobytes(), np.int64(base).tobytes(), b"") for k in np.flatnonzero(np.diff(edges)).tolist() for s in [order[edges[k] : edges[k + 1]]]]
-        if rows:
-            yield _batch(rows, names, types)
+        got = {k: np.concatenate(v) for k, v in held.items()}
+        held.clear()
+        where, rows = [], []
+        for kind, h in ((WORDS, got["words"]), (TWO, got["two"])):
+            bucket = _bucket(h, buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            where.append(bucket.astype("<u4").tobytes())
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                some = h[order[edges[k] : edges[k + 1]]]
+                rows.append((kind, k, stretch, some.tobytes() if kind == WORDS else _packed(some), b""))
+        streams = [got["alone"].tobytes(), got["both"].tobytes(), *where]
+        rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes()))
+        yield from _table(rows).to_batches()
 
     for batch in batches:
         buf, offsets, _ = textbytes.raw_text(batch.column("text"))
@@ -260,77 +322,115 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Ite
             n = model.exact(h)
             text = np.repeat(np.arange(j - i), np.diff(at))
             known = n > 0
-            facts = np.stack(
-                (
-                    np.diff(at).astype(np.float64),
-                    np.bincount(text, weights=known, minlength=j - i),
-                    np.bincount(text, weights=np.where(known, model.log_base(n), 0.0), minlength=j - i),
-                    np.bincount(text, weights=model.log_model(h, at), minlength=j - i),
-                    out[i:j].astype(np.float64),
-                )
-            )
-            doc = np.array([x if x is not None else np.iinfo(np.int64).min for x in ids[i:j]], np.int64)
-            yield _batch([(DOCUMENT, part % buckets, b"", np.int64(row).tobytes(), doc.tobytes(), facts.tobytes())], names, types)
-            rare_h.append(h[~known])
-            rare_row.append(row + text[~known])
-            row += j - i
-            if sum(map(len, rare_h)) >= STRETCH // 4:
+            two = pairs(h, at)
+            alone = np.where(known, model.levels(UNIGRAM, h), ASKED).astype(np.uint8)
+            both = model.levels(PAIRS, _low(two))
+            both = np.where(both > 0, both, ASKED).astype(np.uint8)
+            facts = np.zeros(j - i, FACTS)
+            facts["doc"] = [x if x is not None else 0 for x in ids[i:j]]
+            facts["null"] = [x is None for x in ids[i:j]]
+            facts["out"] = out[i:j]
+            facts["tokens"] = np.diff(at)
+            facts["known"] = np.bincount(text, weights=known, minlength=j - i)
+            facts["base"] = np.bincount(text, weights=np.where(known, log_base(n, model.total, model.types), 0.0), minlength=j - i)
+            for k, v in (("alone", alone), ("both", both), ("words", h[~known]), ("two", two[both == ASKED]), ("facts", facts)):
+                held.setdefault(k, []).append(v)
+            size += len(h)
+            if size >= STRETCH // 4:
                 yield from flush()
-    if sum(map(len, rare_h)):
+                stretch, size = stretch + 1, 0
+    if held:
         yield from flush()
 
 
+FACTS = np.dtype([("doc", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("out", "u1"), ("null", "u1")])
+
+
+@textbytes.lean
+def _answer(table: pa.Table) -> pa.Table:
+    """What a bucket knows of the words (levels and counts) and pairs (levels) that each stretch asks for; stretches go through."""
+    kinds = table.column("kind").to_numpy()
+    bucket = table.column("bucket")[0].as_py()
+    cell = lambda name, i: table.column(name)[i].as_buffer()
+    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in np.flatnonzero(kinds == VOCABULARY).tolist():
+        words, counts = np.frombuffer(cell("h", i), np.uint64), np.frombuffer(cell("n", i), "<i8")
+    alone, both = Filter([(words, counts)], 1), None
+    for i in np.flatnonzero(kinds == FILTER).tolist():
+        both = Filter.load(cell("h", i))
+    rows = []
+    for i in np.flatnonzero(kinds >= WORDS).tolist():
+        kind, stretch = int(kinds[i]), table.column("stretch")[i].as_py()
+        if kind == DOCUMENT:
+            rows.append((kind, bucket, stretch, cell("h", i).to_pybytes(), cell("n", i).to_pybytes()))
+        elif kind == WORDS:
+            h = np.frombuffer(cell("h", i), np.uint64)
+            at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+            n = np.where(words[at] == h, counts[at], 0) if len(words) else np.zeros(len(h), np.int64)
+            level = np.where(n > 0, alone.levels(h), 0)
+            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), n.astype("<u4").tobytes()))
+        else:
+            h = _unpacked(cell("h", i))
+            level = both.levels(h) if both is not None else np.zeros(len(h), np.int64)
+            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), b""))
+    return _table(rows)
+
+
 @textbytes.lean
-def _look_up(table: pa.Table, model: Model) -> pa.Table:
-    """What a bucket adds to each document's row."""
-    kind = table.column("kind").to_numpy()
-    cell = lambda name, i: np.frombuffer(table.column(name)[i].as_buffer(), {"h": np.uint64, "n": "<i8", "doc": "<i8", "score": "<f8"}[name])
-    vocabulary = [(cell("h", i), cell("n", i)) for i in np.flatnonzero(kind == VOCABULARY).tolist()]
-    words, counts = vocabulary[0] if vocabulary else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows, known, base = [], [], []
-    for i in np.flatnonzero(kind == RARE).tolist():
-        h = cell("h", i)
-        row = np.frombuffer(table.column("n")[i].as_buffer(), "<u4").astype(np.int64) + cell("doc", i)[0]
-        at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-        n = np.where(words[at] == h, counts[at], 0) if len(words) else np.zeros(len(h), np.int64)
-        one, back = np.unique(row, return_inverse=True)
-        rows.append(one)
-        known.append(np.bincount(back, weights=n > 0, minlength=len(one)))
-        base.append(np.bincount(back, weights=model.log_base(n), minlength=len(one)))
-    k = sum(map(len, rows))
-    join = lambda parts, t: np.concatenate([*parts, np.zeros(0, t)])
-    none = lambda t: pa.nulls(k, t)
-    tables = [pa.table({"row": pa.array(join(rows, np.int64).astype(np.int64)), "doc_id": none(pa.int64()), "held_out": none(pa.bool_()), "n_tokens": none(pa.int64()), "n_known": pa.array(join(known, float).astype(np.int64)), "base": pa.array(join(base, float)), "score": none(pa.float64())})]
-    for i in np.flatnonzero(kind == DOCUMENT).tolist():
-        doc = cell("doc", i)
-        facts = cell("score", i).reshape(5, -1)
-        tables.append(
-            pa.table(
-                {
-                    "row": pa.array(cell("n", i)[0] + np.arange(len(doc))),
-                    "doc_id": pa.array(doc, mask=doc == np.iinfo(np.int64).min),
-                    "held_out": pa.array(facts[4] > 0),
-                    "n_tokens": pa.array(facts[0].astype(np.int64)),
-                    "n_known": pa.array(facts[1].astype(np.int64)),
-                    "base": pa.array(facts[2]),
-                    "score": pa.array(facts[3]),
-                }
-            )
-        )
-    return pa.concat_tables(tables)
-
-
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
+def _finish(table: pa.Table, total: int, types: int) -> pa.Table:
+    """The rows of a stretch's documents."""
+    kinds, buckets = table.column("kind").to_numpy(), table.column("bucket").to_numpy()
+    cell = lambda name, i: table.column(name)[i].as_buffer()
+    own = int(np.flatnonzero(kinds == DOCUMENT)[0])
+    facts = np.frombuffer(cell("n", own), FACTS)
+    at = np.concatenate(([0], np.cumsum(facts["tokens"])))
+    raw = zlib.decompress(cell("h", own))
+    size = int(at[-1])
+    alone, both = (np.frombuffer(raw, np.uint8, size, k * size).copy() for k in (0, 1))
+    asked = {WORDS: np.flatnonzero(alone == ASKED), TWO: np.flatnonzero(both == ASKED)}
+    start, n = 2 * size, np.zeros(len(asked[WORDS]), np.int64)
+    for kind, level in ((WORDS, alone), (TWO, both)):
+        where = np.frombuffer(raw, "<u4", len(asked[kind]), start)
+        start += where.nbytes
+        order = np.argsort(where, kind="stable")
+        mine = np.flatnonzero(kinds == kind)
+        mine = mine[np.argsort(buckets[mine])].tolist()
+        if mine:
+            level[asked[kind][order]] = np.concatenate([np.frombuffer(cell("h", i), np.uint8) for i in mine])
+            if kind == WORDS:
+                n[order] = np.concatenate([np.frombuffer(cell("n", i), "<u4") for i in mine])
+    text = np.repeat(np.arange(len(facts)), facts["tokens"])
+    rare = text[asked[WORDS]]
+    return pa.table(
+        {
+            "doc_id": pa.array(facts["doc"].copy(), mask=facts["null"] > 0),
+            "held_out": pa.array(facts["out"] > 0),
+            "n_tokens": pa.array(facts["tokens"].copy()),
+            "n_known": pa.array(facts["known"] + np.bincount(rare, weights=n > 0, minlength=len(facts)).astype(np.int64)),
+            "base_score": pa.array(facts["base"] + np.bincount(rare, weights=log_base(n, total, types), minlength=len(facts))),
+            "score": pa.array(np.bincount(text, weights=log_model(alone, both, at, total, types), minlength=len(facts))),
+        }
+    )
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     buckets = max(12, common.shuffle_partitions(spark))
-    scored = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text").mapInArrow(lambda it: _score(it, shared.value, buckets), SCORED)
-    empty = F.lit(b"")
-    words = vocabulary.select(F.lit(VOCABULARY).alias("kind"), "bucket", "h", "n", empty.alias("doc"), empty.alias("score"))
-    parts = scored.unionByName(words).groupBy("bucket").applyInArrow(lambda t: _look_up(t, shared.value), PART)
-    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    total, types = model.total, model.types
+    asked = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text").mapInArrow(lambda it: _ask(it, shared.value, buckets), ROUTED)
+    word = F.col("kind") == UNIGRAM
+    known = counts.select(
+        F.when(word, VOCABULARY).otherwise(FILTER).cast("int").alias("kind"),
+        "bucket",
+        F.lit(None).cast("long").alias("stretch"),
+        F.when(word, F.col("h")).otherwise(F.col("filter")).alias("h"),
+        F.when(word, F.col("n")).otherwise(F.lit(b"")).alias("n"),
+    )
+    answers = asked.unionByName(known).groupBy("bucket").applyInArrow(_answer, ROUTED)
+    rows = answers.groupBy("stretch").applyInArrow(lambda t: _finish(t, total, types), SCORED)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -246,6 +246,29 @@ def test_rare_words_meet_their_counts(documents, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_bloom.score_documents(documents).collect()} == want
 
 
+@pytest.mark.parametrize("share", [5e-7, 0.01, 0.5])
+def test_rare_ngrams_are_held_at_every_size(documents, corpus, monkeypatch, share):
+    """However few n-grams are broadcast, all count: scores are those of the whole counts, quantised."""
+    monkeypatch.setattr(lm_bloom, "FREQUENT", share)
+    monkeypatch.setattr(lm_bloom, "HELD", share)
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    tokens = {i: [*WORD.findall(t.translate(lower)), None] for i, t, *_ in corpus}
+    learnt = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for ws in learnt for w in ws)
+    two = Counter(p for ws in learnt for p in zip([None, *ws], ws))
+    total, types = sum(one.values()), len(one)
+    quantised = lambda n: 1.5 * 2 ** math.floor(math.log2(n)) if n else 0.0
+
+    def log(u, w):
+        alone = quantised(one[w]) / total if one[w] else 1 / (total + types + 1)
+        return math.log10(0.4 * (min(quantised(two[u, w]) / quantised(one[u]), 1) if two[u, w] else 0) + 0.6 * min(alone, 1))
+
+    got = {r["doc_id"]: r["score"] for r in lm_bloom.score_documents(documents).collect()}
+    want = {i: sum(map(log, [None, *ws], ws)) for i, ws in tokens.items()}
+    close = sum(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)  # the others met a false positive
+    assert close >= 0.8 * len(want) and all(math.isclose(got[i], want[i], rel_tol=0.05, abs_tol=1) for i in want)
+
+
 def test_log_frequency_filter():
     h = textbytes.mixed(np.arange(1, 2001, dtype=np.uint64))
     n = np.random.default_rng(0).zipf(1.5, 2000).clip(2, 10**6).astype(np.int64)
