@@ -7,8 +7,9 @@ slot of another valid class, nest into the host's template. What the template le
 main text is what lies in the innermost grouping element of the root class (there once on every page) that still holds
 ``HOLDS`` of all text outside menus, forms and the like.
 
-Text nodes of the root class, the same on all of at least ``CONSTANT`` pages, are template and not content. Hosts
-with fewer than ``PAGES`` pages use the template deduced from all pages.
+Text nodes of the root class, the same on all pages, are template and not content, unless those inside the container
+hold ``HOLDS`` of all text: such pages are copies, and what they share is their text. Copies of a page (equal html on a
+host) are one page here. Hosts with fewer than ``PAGES`` pages use the template deduced from all pages.
 
 Vectors are compared by two sums, over pages, of hashes of page and count, so that they combine on the map side and a
 host of any size is a row for each token; what is deduced from are the frequent tokens of a host, of which there are
@@ -16,8 +17,8 @@ no more than a page's tokens divided by ``SUPPORT``.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 two line ends. Defined results: null and empty html gives an empty text; a null url belongs to the host ''; broken
-markup is read as browsers do in the main (implied ends, raw elements, unmatched ends skipped); repeated rows count
-each; other columns are ignored.
+markup is read as browsers do in the main (implied ends, raw elements, unmatched ends skipped); repeated rows give
+a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SUPPORT, HOLDS, CONSTANT, PAGES = 0.5, 0.6, 8, 3
+SUPPORT, HOLDS, PAGES = 0.5, 0.6, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -136,11 +137,6 @@ def walk(page: str, top: _Path) -> Iterator[tuple[_Path, str | None, bool]]:
         yield here, page[at:], False
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "")
-    return m[1].rpartition("@")[2].lower() if m else ""
-
-
 FACTS = "host string, token long, parent long, path string, pages long, total long, v1 long, v2 long, chars long"
 
 
@@ -149,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         facts: dict[tuple[str, int], list] = {}
         top = root()
-        for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+        for host, same, page in zip(*(batch.column(c).to_pylist() for c in ("host", "same", "html")), strict=True):
             times: dict[int, list] = {top.key: [1, 0, top.key, "", 0]}
             for path, text, _ in walk(page or "", top):
                 if text is None:
@@ -163,12 +159,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t = times.setdefault(key, [0, path.key, None, None, 0])
                 t[0] += 1
                 if not path.aside and not path.link:
+                    t[4] += len(text)
                     p = path
                     while p is not None:
                         times.setdefault(p.key, [0, (p.parent or p).key, p.key, p.text, 0])[4] += len(text)
                         p = p.parent
             times[top.key][0] = 1
-            host, seed = _host(url), _hash(f"{page_id}\0{url}")
+            seed = _hash(f"{host}\0{same}")
             for key, (n, parent, _, path, chars) in times.items():
                 x = ((seed + n * 0x9E3779B97F4A7C15) & _M64) * 0xFF51AFD7ED558CCD & _M64
                 x ^= x >> 31
@@ -219,14 +216,25 @@ def deduce(tokens: list[dict]) -> dict:
             p = p.child(name, named)
         if p.name in _GROUPS and not p.aside and t["chars"] >= HOLDS * max(base["chars"], 1) and len(at) > depth:
             container, depth = t["token"], len(at)
-    same = vector(base) if base["pages"] >= CONSTANT else None
-    constants = sorted(t["token"] for t in tokens if t["path"] is None and vector(t) == same)
+
+    def inside(t: dict) -> bool:
+        p = by_key.get(t["parent"])
+        while p is not None and p["token"] != container and p is not base:
+            p = by_key.get(p["parent"])
+        return p is not None and p["token"] == container
+
+    same = [t for t in tokens if t["path"] is None and vector(t) == vector(base)] if base["pages"] >= PAGES else []
+    held = [t for t in same if inside(t)]
+    if sum(t["chars"] for t in held) >= HOLDS * max(base["chars"], 1):
+        same = [t for t in same if not inside(t)]
+    constants = sorted(t["token"] for t in same)
     return {"host": base["host"], "pages": base["pages"], "container": container, "constants": constants, "classes": nested}
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """A row for each host with enough pages, and one of host null for all pages together. Pinned."""
-    counted = pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(_count, FACTS)
+    keyed = pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html")
+    counted = keyed.groupBy("host", "same").agg(F.any_value("html").alias("html")).mapInArrow(_count, FACTS)
     sums = [F.any_value("parent").alias("parent"), F.any_value("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "chars"))]
     facts = common.pin(counted.groupBy("host", "token").agg(*sums))
     everywhere = facts.groupBy("token").agg(*sums).select(F.lit(None).cast("string").alias("host"), "token", *(c for c in facts.columns if c not in ("host", "token")))
@@ -257,7 +265,7 @@ def main_text(page: str | None, container: int | None, constants: frozenset[int]
             p = p.parent
         return False
 
-    found: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
+    found: dict[tuple[bool, bool], list[list[str]]] = {(ok, whole): [[]] for ok in (True, False) for whole in (False, True)}
     for path, text, block in walk(page or "", top):
         if block:
             for blocks in found.values():
@@ -268,12 +276,11 @@ def main_text(page: str | None, container: int | None, constants: frozenset[int]
         ok = inside.get(id(path))
         if ok is None:
             ok = inside[id(path)] = within(path)
-        if constants and _hash(f"{path.text}\0{' '.join(text.split())}") in constants:
-            continue
-        found[False][-1].append(text)
-        if ok:
-            found[True][-1].append(text)
-    for part in (True, False):
+        fixed = bool(constants) and _hash(f"{path.text}\0{' '.join(text.split())}") in constants
+        for part in ((False, False), (False, True), (True, False), (True, True)):
+            if (ok or not part[0]) and (part[1] or not fixed):
+                found[part][-1].append(text)
+    for part in ((True, False), (True, True), (False, False), (False, True)):  # constants stay where nothing is left without
         blocks = [" ".join(html.unescape("".join(b)).split()) for b in found[part]]
         if text := "\n\n".join(b for b in blocks if b):
             return text

@@ -338,6 +338,21 @@ def test_template(spark):
     assert site["pages"] == 12 and site["classes"][0]["parent"] == -1 and len(site["constants"]) >= 1
 
 
+PAGE = "<html><body><div class='top'>Site name</div><article><h1>{t}</h1><p>{a}</p><p>{b}</p><p>Read on</p></article></body></html>"
+
+
+def test_copies_keep_their_text(spark):
+    """Copies, and near copies that differ outside the article, aren't template; the text of small hosts is."""
+    same = PAGE.format(t="One title", a="one text " * 20, b="more of it " * 20)
+    rows = [(i, f"http://copies/{i}", same) for i in range(12)]
+    rows += [(20 + i, f"http://near/{i}", same.replace("Site name", f"Site name {i}")) for i in range(12)]
+    rows += [(40 + i, f"http://few/{i}", PAGE.format(t=f"Title {i}", a=f"text {i} " * 30, b=f"rest {i} " * 20)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "\n\n".join(["One title", ("one text " * 20).strip(), ("more of it " * 20).strip()])
+    assert all(text in got[i] for i in (*range(12), *range(20, 32)))
+    assert all(got[40 + i] == f"Title {i}\n\n{(f'text {i} ' * 30).strip()}\n\n{(f'rest {i} ' * 20).strip()}" for i in range(4))
+
+
 def test_extraction_of_given_pages(spark):
     import html
 
