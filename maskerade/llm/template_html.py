@@ -4,12 +4,13 @@ A page is a sequence of tokens: its elements, told apart by the path of tags and
 text nodes. The occurrence vector of a token holds how often each page of its host has it. Tokens with the same
 vector form an equivalence class; classes that at least ``SUPPORT`` of the pages have, and whose tokens all lie in one
 slot of another valid class, nest into the host's template. What the template leaves open are slots; of these, the
-main text is what lies in the innermost grouping element of the root class (there once on every page) that still holds
-``HOLDS`` of all text outside menus, forms and the like.
+main text is what lies in the innermost grouping element of a valid class (there once on every page that has it) that
+still holds ``HOLDS`` of these pages' text outside menus, forms and the like; a page without it uses the next one that
+it has.
 
-Text nodes of the root class, the same on all pages, are template and not content, unless those inside the container
-hold ``HOLDS`` of all text: such pages are copies, and what they share is their text. Copies of a page (equal html on a
-host) are one page here. Hosts with fewer than ``PAGES`` pages use the template deduced from all pages.
+Text nodes of a valid class are template and not content, unless those of the class inside the container hold ``HOLDS``
+of all text: such pages are copies, and what they share is their text. Copies of a page (equal html on a host) are one
+page here, and pages without elements are none. Hosts with fewer than ``PAGES`` pages use the template deduced from all pages.
 
 Vectors are compared by two sums, over pages, of hashes of page and count, so that they combine on the map side and a
 host of any size is a row for each token; what is deduced from are the frequent tokens of a host, of which there are
@@ -137,18 +138,20 @@ def walk(page: str, top: _Path) -> Iterator[tuple[_Path, str | None, bool]]:
         yield here, page[at:], False
 
 
-FACTS = "host string, token long, parent long, path string, pages long, total long, v1 long, v2 long, chars long"
+FACTS = "host string, token long, parent long, path string, pages long, total long, v1 long, v2 long, chars long, around long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token of a batch: pages, occurrences, parts of the vector's sums, text that it holds."""
+    """For each host and token of a batch: pages, occurrences, parts of the vector's sums, text that it holds, text of its pages."""
     for batch in batches:
         facts: dict[tuple[str, int], list] = {}
         top = root()
         for host, same, page in zip(*(batch.column(c).to_pylist() for c in ("host", "same", "html")), strict=True):
             times: dict[int, list] = {top.key: [1, 0, top.key, "", 0]}
+            bare = True
             for path, text, _ in walk(page or "", top):
                 if text is None:
+                    bare = False
                     t = times.setdefault(path.key, [0, (path.parent or path).key, path.key, path.text, 0])
                     t[0] += 1
                     continue
@@ -164,23 +167,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     while p is not None:
                         times.setdefault(p.key, [0, (p.parent or p).key, p.key, p.text, 0])[4] += len(text)
                         p = p.parent
+            if bare:
+                continue
             times[top.key][0] = 1
             seed = _hash(f"{host}\0{same}")
             for key, (n, parent, _, path, chars) in times.items():
                 x = ((seed + n * 0x9E3779B97F4A7C15) & _M64) * 0xFF51AFD7ED558CCD & _M64
                 x ^= x >> 31
-                f = facts.setdefault((host, key), [host, key, parent, path, 0, 0, 0, 0, 0])
+                f = facts.setdefault((host, key), [host, key, parent, path, 0, 0, 0, 0, 0, 0])
                 f[4] += 1
                 f[5] += n
                 f[6] += x & _M31
                 f[7] += (x * 0xC4CEB9FE1A85EC53 & _M64) >> 33
                 f[8] += chars
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5)
-        names = ("host", "token", "parent", "path", "pages", "total", "v1", "v2", "chars")
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*facts.values(), strict=True) if facts else [()] * 9, types, strict=True)], names=list(names))
+                f[9] += times[top.key][4]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6)
+        names = ("host", "token", "parent", "path", "pages", "total", "v1", "v2", "chars", "around")
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*facts.values(), strict=True) if facts else [()] * 10, types, strict=True)], names=list(names))
 
 
-TEMPLATE = "host string, pages long, container long, constants array<long>, classes array<struct<pages:long,parent:int,tokens:array<string>>>"
+TEMPLATE = "host string, pages long, containers array<long>, constants array<long>, classes array<struct<pages:long,parent:int,tokens:array<string>>>"
 
 
 def deduce(tokens: list[dict]) -> dict:
@@ -208,34 +214,40 @@ def deduce(tokens: list[dict]) -> dict:
         if len(around) == 1 and None not in around:
             number[v] = len(nested)
             nested.append({"pages": v[0], "parent": around.pop(), "tokens": sorted(t["path"] for t in classes[v])})
-    container, depth = top.key, 0
-    for t in classes[vector(base)]:
+    found: list[tuple[int, int, int]] = []
+    for t in by_key.values():
         p, at = top, t["path"].split(">")[1:]
         for step in at:
             name, _, named = step.partition(".")
             p = p.child(name, named)
-        if p.name in _GROUPS and not p.aside and t["chars"] >= HOLDS * max(base["chars"], 1) and len(at) > depth:
-            container, depth = t["token"], len(at)
+        once = vector(t) in number and t["total"] == t["pages"]
+        if once and p.name in _GROUPS and not p.aside and t["chars"] >= HOLDS * max(t["around"], 1):
+            found.append((-len(at), -t["pages"], t["token"]))
+    containers = [token for *_, token in sorted(found)]
 
     def inside(t: dict) -> bool:
         p = by_key.get(t["parent"])
-        while p is not None and p["token"] != container and p is not base:
+        while p is not None and p["token"] not in containers and p is not base:
             p = by_key.get(p["parent"])
-        return p is not None and p["token"] == container
+        return p is not None and p["token"] in containers
 
-    same = [t for t in tokens if t["path"] is None and vector(t) == vector(base)] if base["pages"] >= PAGES else []
-    held = [t for t in same if inside(t)]
-    if sum(t["chars"] for t in held) >= HOLDS * max(base["chars"], 1):
-        same = [t for t in same if not inside(t)]
-    constants = sorted(t["token"] for t in same)
-    return {"host": base["host"], "pages": base["pages"], "container": container, "constants": constants, "classes": nested}
+    constants: list[int] = []
+    same: dict[tuple, list[dict]] = {}
+    for t in tokens:
+        if t["path"] is None and t["total"] == t["pages"] >= PAGES and vector(t) in number:
+            same.setdefault(vector(t), []).append(t)
+    for texts in same.values():
+        held = [t for t in texts if inside(t)]
+        copies = sum(t["chars"] for t in held) >= HOLDS * max(texts[0]["around"], 1)
+        constants += [t["token"] for t in texts if not copies or not inside(t)]
+    return {"host": base["host"], "pages": base["pages"], "containers": containers, "constants": sorted(constants), "classes": nested}
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """A row for each host with enough pages, and one of host null for all pages together. Pinned."""
     keyed = pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html")
     counted = keyed.groupBy("host", "same").agg(F.any_value("html").alias("html")).mapInArrow(_count, FACTS)
-    sums = [F.any_value("parent").alias("parent"), F.any_value("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "chars"))]
+    sums = [F.any_value("parent").alias("parent"), F.any_value("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "chars", "around"))]
     facts = common.pin(counted.groupBy("host", "token").agg(*sums))
     everywhere = facts.groupBy("token").agg(*sums).select(F.lit(None).cast("string").alias("host"), "token", *(c for c in facts.columns if c not in ("host", "token")))
     top = root().key
@@ -250,55 +262,57 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def _schema() -> pa.Schema:
     each = pa.struct([("pages", pa.int64()), ("parent", pa.int32()), ("tokens", pa.list_(pa.string()))])
-    return pa.schema([("host", pa.string()), ("pages", pa.int64()), ("container", pa.int64()), ("constants", pa.list_(pa.int64())), ("classes", pa.list_(each))])
+    return pa.schema([("host", pa.string()), ("pages", pa.int64()), ("containers", pa.list_(pa.int64())), ("constants", pa.list_(pa.int64())), ("classes", pa.list_(each))])
 
 
-def main_text(page: str | None, container: int | None, constants: frozenset[int], top: _Path) -> str:
-    """The text of the container's slots. Without a container on the page, of all that isn't set aside."""
-    inside: dict[int, bool] = {}
+def main_text(page: str | None, containers: list[int], constants: frozenset[int], top: _Path) -> str:
+    """The text of the slots of the first container that the page has. Without one, of all that isn't set aside."""
+    around: dict[int, frozenset[int]] = {}
 
-    def within(path: _Path) -> bool:
-        p = path
-        while p is not None:
-            if p.key == container:
-                return True
-            p = p.parent
-        return False
+    def within(path: _Path) -> frozenset[int]:
+        found = around.get(path.key)
+        if found is None:
+            p, keys = path, set()
+            while p is not None:
+                keys.add(p.key)
+                p = p.parent
+            found = around[path.key] = wanted & keys
+        return found
 
-    found: dict[tuple[bool, bool], list[list[str]]] = {(ok, whole): [[]] for ok in (True, False) for whole in (False, True)}
+    wanted = frozenset(containers)
+    texts: list[tuple[int, str, bool, frozenset[int]]] = []
+    number = 0
     for path, text, block in walk(page or "", top):
-        if block:
-            for blocks in found.values():
-                if blocks[-1]:
-                    blocks.append([])
+        number += block
         if not text or path.aside:
             continue
-        ok = inside.get(id(path))
-        if ok is None:
-            ok = inside[id(path)] = within(path)
         fixed = bool(constants) and _hash(f"{path.text}\0{' '.join(text.split())}") in constants
-        for part in ((False, False), (False, True), (True, False), (True, True)):
-            if (ok or not part[0]) and (part[1] or not fixed):
-                found[part][-1].append(text)
-    for part in ((True, False), (True, True), (False, False), (False, True)):  # constants stay where nothing is left without
-        blocks = [" ".join(html.unescape("".join(b)).split()) for b in found[part]]
-        if text := "\n\n".join(b for b in blocks if b):
-            return text
+        texts.append((number, text, fixed, within(path)))
+    held = frozenset().union(*(inside for *_, inside in texts))
+    for container in (*(c for c in containers if c in held), None):
+        for whole in (False, True):  # constants stay where nothing is left without
+            blocks: dict[int, list[str]] = {}
+            for k, text, fixed, inside in texts:
+                if (container is None or container in inside) and (whole or not fixed):
+                    blocks.setdefault(k, []).append(text)
+            made = [" ".join(html.unescape("".join(b)).split()) for b in blocks.values()]
+            if text := "\n\n".join(b for b in made if b):
+                return text
     return ""
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
-def _extract(batches: Iterator[pa.RecordBatch], everywhere: tuple[int | None, frozenset[int]]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], everywhere: tuple[list[int], frozenset[int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         top, texts, known = root(), [], {}
-        for page, host, container, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "_host", "container", "constants")), strict=True):
-            if container is None:
+        for page, host, containers, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "_host", "containers", "constants")), strict=True):
+            if containers is None:
                 texts.append(main_text(page, *everywhere, top))
             else:
                 fixed = known.setdefault(host, frozenset(constants))
-                texts.append(main_text(page, container, fixed, top))
+                texts.append(main_text(page, containers, fixed, top))
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
@@ -309,8 +323,8 @@ def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     found = templates(pages) if found is None else found
     rest = found.filter("host is null").first()
-    everywhere = (rest["container"], frozenset(rest["constants"])) if rest else (None, frozenset())
-    sites = found.filter("host is not null").select("host", "container", "constants")
+    everywhere = (rest["containers"], frozenset(rest["constants"])) if rest else ([], frozenset())
+    sites = found.filter("host is not null").select("host", "containers", "constants")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.expr(_HOST_SQL).alias("_host"))
     rows = rows.join(common.small(sites), F.col("_host") == F.col("host"), "left").drop("host")
     return rows.mapInArrow(lambda it: _extract(it, everywhere), EXTRACTED)

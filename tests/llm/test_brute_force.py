@@ -353,6 +353,16 @@ def test_copies_keep_their_text(spark):
     assert all(got[40 + i] == f"Title {i}\n\n{(f'text {i} ' * 30).strip()}\n\n{(f'rest {i} ' * 20).strip()}" for i in range(4))
 
 
+def test_odd_pages_of_a_host(spark):
+    """Null, empty and differently built pages don't take the template from the others."""
+    menu = "<div class='top'>Site name</div>"
+    rows = [(i, f"http://odd/{i}", PAGE.format(t=f"Title {i}", a=f"text {i} " * 30, b=f"rest {i} " * 20)) for i in range(12)]
+    rows += [(20, "http://odd/a", None), (21, "http://odd/b", ""), (22, "http://odd/c", f"<html><body><table><tr><td>other page</td></tr></table>{menu}</body></html>")]
+    got = {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\n{(f'text {i} ' * 30).strip()}\n\n{(f'rest {i} ' * 20).strip()}" for i in range(12))
+    assert (got[20], got[21]) == ("", "") and "other page" in got[22]
+
+
 def test_extraction_of_given_pages(spark):
     import html
 
