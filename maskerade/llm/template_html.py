@@ -52,12 +52,13 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _BORDER = frozenset("ul ol dl table select article section div main body nav aside footer header form".split())
 #: Elements that group blocks, and so can hold a main text.
 _GROUPS = frozenset("article body center div html main section table tbody td tr".split())
-#: Elements that hold no main text, and words in class, id or role that say the same.
+#: Elements that hold no main text, and whole names in class, id or role that say the same, save on ``_MAIN``.
 _ASIDE = frozenset("nav header footer aside form button select menu dialog head".split())
 _ASIDE_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-list|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-list|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|\s)",
     re.IGNORECASE,
 )
+_MAIN = frozenset("html body main article".split())
 _M31 = (1 << 31) - 1
 _M64 = (1 << 64) - 1
 
@@ -75,7 +76,7 @@ class _Path:
         self.parent, self.name = parent, name
         self.text = (parent.text + ">" if parent else "") + name + (f".{named}" if named else "")
         self.key = _hash(self.text)
-        self.aside = bool(parent and parent.aside) or name in _ASIDE and not (name == "header" and parent is not None and "article" in parent.text) or bool(named and _ASIDE_NAMED.search(named))
+        self.aside = bool(parent and parent.aside) or name in _ASIDE and not (name == "header" and parent is not None and "article" in parent.text) or bool(named and name not in _MAIN and _ASIDE_NAMED.search(named))
         self.link = name == "a" or bool(parent and parent.link)
         self.depth = parent.depth + 1 if parent else 0
         self.children: dict[tuple[str, str], _Path] = {}
@@ -266,7 +267,7 @@ def _schema() -> pa.Schema:
 
 
 def main_text(page: str | None, containers: list[int], constants: frozenset[int], top: _Path) -> str:
-    """The text of the slots of the first container that the page has. Without one, of all that isn't set aside."""
+    """The text of the slots of the first container that the page has. Without one, of all that isn't set aside, or else of all."""
     around: dict[int, frozenset[int]] = {}
 
     def within(path: _Path) -> frozenset[int]:
@@ -280,20 +281,20 @@ def main_text(page: str | None, containers: list[int], constants: frozenset[int]
         return found
 
     wanted = frozenset(containers)
-    texts: list[tuple[int, str, bool, frozenset[int]]] = []
+    texts: list[tuple[int, str, bool, frozenset[int], bool]] = []
     number = 0
     for path, text, block in walk(page or "", top):
         number += block
-        if not text or path.aside:
+        if not text:
             continue
         fixed = bool(constants) and _hash(f"{path.text}\0{' '.join(text.split())}") in constants
-        texts.append((number, text, fixed, within(path)))
-    held = frozenset().union(*(inside for *_, inside in texts))
-    for container in (*(c for c in containers if c in held), None):
+        texts.append((number, text, fixed, within(path), path.aside))
+    held = frozenset().union(*(inside for *_, inside, _ in texts))
+    for container, set_aside in (*((c, False) for c in containers if c in held), (None, False), (None, True)):
         for whole in (False, True):  # constants stay where nothing is left without
             blocks: dict[int, list[str]] = {}
-            for k, text, fixed, inside in texts:
-                if (container is None or container in inside) and (whole or not fixed):
+            for k, text, fixed, inside, aside in texts:
+                if (set_aside or not aside) and (container is None or container in inside) and (whole or not fixed):
                     blocks.setdefault(k, []).append(text)
             made = [" ".join(html.unescape("".join(b)).split()) for b in blocks.values()]
             if text := "\n\n".join(b for b in made if b):

@@ -363,6 +363,23 @@ def test_odd_pages_of_a_host(spark):
     assert (got[20], got[21]) == ("", "") and "other page" in got[22]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article class='post tag-news'><p>story</p></article>", "story"),
+        ("<body class='has-sidebar'><p>story</p></body>", "story"),
+        ("<main class='search-open'><p>story</p></main>", "story"),
+        ("<main class='search'><p>story</p></main>", "story"),
+        ("<div class='content no-ads'><p>story</p></div>", "story"),
+        ("<div class='article-header'><h1>head</h1></div><p>story</p>", "head\n\nstory"),
+        ("<div class='box ad'>buy</div><p>story</p>", "story"),
+        ("<nav>all there is</nav>", "all there is"),
+    ],
+)
+def test_names_that_set_aside(page, want):
+    assert template_html.main_text(page, [], frozenset(), template_html.root()) == want
+
+
 def test_extraction_of_given_pages(spark):
     import html
 
