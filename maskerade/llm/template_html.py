@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -142,6 +143,12 @@ def walk(page: str, top: _Path) -> Iterator[tuple[_Path, str | None, bool]]:
 FACTS = "host string, token long, parent long, path string, pages long, total long, v1 long, v2 long, chars long, around long"
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = [zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "same": batch.column("same"), "html": pa.array(pages, pa.binary())})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each host and token of a batch: pages, occurrences, parts of the vector's sums, text that it holds, text of its pages."""
     for batch in batches:
@@ -150,7 +157,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, same, page in zip(*(batch.column(c).to_pylist() for c in ("host", "same", "html")), strict=True):
             times: dict[int, list] = {top.key: [1, 0, top.key, "", 0]}
             bare = True
-            for path, text, _ in walk(page or "", top):
+            for path, text, _ in walk(zlib.decompress(page).decode("utf-8", "surrogatepass"), top):
                 if text is None:
                     bare = False
                     t = times.setdefault(path.key, [0, (path.parent or path).key, path.key, path.text, 0])
@@ -246,7 +253,8 @@ def deduce(tokens: list[dict]) -> dict:
 
 def templates(pages: DataFrame) -> DataFrame:
     """A row for each host with enough pages, and one of host null for all pages together. Pinned."""
-    keyed = pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html")
+    keyed = pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html").filter("html is not null")
+    keyed = keyed.mapInArrow(_squeezed, "host string, same string, html binary")
     counted = keyed.groupBy("host", "same").agg(F.any_value("html").alias("html")).mapInArrow(_count, FACTS)
     sums = [F.any_value("parent").alias("parent"), F.any_value("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "chars", "around"))]
     facts = common.pin(counted.groupBy("host", "token").agg(*sums))
