@@ -52,11 +52,55 @@ def test_forest_join_in_blocks(spark, monkeypatch):
 
 def test_prefixes_shorten_to_the_target():
     for target in (0.9, 0.99, 0.999):
-        d = jaccard_forest.prefix_depth(target=target)
+        d = jaccard_forest.shortest_prefix(target=target)
         assert jaccard_forest.recall_at(d, 0.8, jaccard_forest.TREES) >= target
         assert d == jaccard_forest.LONGEST or jaccard_forest.recall_at(d + 1, 0.8, jaccard_forest.TREES) < target
 
 
+def test_prefixes_shorten_by_what_they_match():
+    """Close pairs prove the target early, pairs at the threshold and too few pairs don't."""
+    bins = lambda similarity, n: np.bincount([int(similarity * jaccard_forest.BINS)] * n, minlength=jaccard_forest.BINS + 1)
+    at = lambda b, d: jaccard_forest.recall_found(b, d, 0.8, jaccard_forest.TREES)
+    assert at(bins(0.97, 100_000), 8) > 0.999 > at(bins(0.82, 100_000), 8)
+    assert at(bins(0.97, 3), 8) < 0.999 and at(bins(0.9, 0), 8) == 0
+    assert at(bins(0.82, 100_000), 8) < at(bins(0.82, 100_000), 6) < at(bins(0.82, 100_000), 5)
+
+
+def test_forest_stops_where_it_is_deep_enough(spark):
+    base = [[f"t{t}w{k}" for k in range(400)] for t in range(60)]
+    rows = [(100 * t + i, " ".join([*w, f"end{i}"])) for t, w in enumerate(base) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    *_, reached = jaccard_forest._linked(df, 0.8, 5, 20, 0.999)
+    assert list(reached) == [8] and reached[8] >= 0.999
+    *_, reached = jaccard_forest._linked(df.limit(10), 0.8, 5, 20, 0.999)
+    assert list(reached) == [8, 5]
+
+
+ODD = [(1, "A"), (1, "A"), (2, "B"), (None, "A"), (None, "B"), (None, "other"), (3, "A"), (3, "other"), (4, None), (4, None), (5, ""), (None, None)]
+
+
+def odd_texts():
+    base = [f"w{k}" for k in range(60)]
+    named = {"A": " ".join(base), "B": " ".join([*base, "end"]), "other": " ".join(f"o{k}" for k in range(60))}
+    return [(i, named.get(t, t)) for i, t in ODD]
+
+
+def test_forest_join_tells_rows_apart(spark):
+    """Repeated rows, null ids and one id for two texts."""
+    got = Counter((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"], r["n_linked_texts"]) for r in jaccard_forest.join(spark.createDataFrame(odd_texts(), "doc_id long, text string")).collect())
+    want = Counter()
+    for i, t in ODD:
+        want[{"A": (i, 1, 4, 5, 1), "B": (i, 1, 2, 5, 1), "other": (i, 3, 2, 1, 0)}.get(t, (i, i, 1, 0, 0))] += 1
+    assert got == want
+
+
+def test_one_row_of_each_class_stays(spark):
+    rows = [(i, t, {"a": 1}) for i, t in odd_texts()]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string, same map<string,int>")).collect())
+    text = dict(zip(("A", "B", "other"), (dict(zip((t for _, t in ODD), (t for _, t in odd_texts())))[k] for k in ("A", "B", "other"))))
+    assert got == Counter([(1, text["A"]), (3, text["other"]), (4, None), (4, None), (5, ""), (None, None)])
+
+
 def test_quality_counts(documents, corpus):
     got = {r["doc_id"]: r for r in quality_crf.score(documents, quality_crf.PRIOR).collect()}
     for i, t, *_ in corpus:
