@@ -36,8 +36,8 @@ from . import common, graph, textbytes
 
 SHINGLE, THRESHOLD, TREES, LONGEST, RECALL = 5, 0.8, 20, 8, 0.999
 BLOCK = 256
-#: Bins of similarities from 0 to 1, by which found pairs are counted.
-BINS = 1000
+#: Bins of similarities from the threshold to 1, by which found pairs are counted.
+BINS = 40
 
 
 def recall_at(depth: int, similarity: float | np.ndarray, trees: int) -> float | np.ndarray:
@@ -60,7 +60,7 @@ def recall_found(bins: np.ndarray, depth: int, threshold: float, trees: int, the
     raised by two standard errors, and by those of one pair at the threshold, so that few pairs, or none, aren't
     taken for proof.
     """
-    similarity = np.minimum((np.arange(len(bins)) + 0.5) / (len(bins) - 1), 1.0)
+    similarity = np.minimum(threshold + (1 - threshold) * (np.arange(len(bins)) + 0.5) / (len(bins) - 1), 1.0)
     pairs = bins / recall_at(depth, similarity, trees).clip(1e-9, 1.0)
     p, at = (recall_at(then or depth, x, trees) for x in (similarity, threshold))
     p = p.clip(1e-9, 1.0)
@@ -228,8 +228,9 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 def _verify(batches: Iterator[pa.RecordBatch], depth: int, done: int | None, width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """For each unit's node with links there: the least node it is connected with, linked texts and documents.
 
-    The first row of a batch counts the batch's pairs by similarity.
+    The last row has no node and counts the task's pairs by similarity.
     """
+    bins = np.zeros(BINS + 1, np.int64)
     for table in _whole_units(batches, _Units.KEYS, rows=500):
         units = _Units(table, depth, done)
         copies = table.column("copies").to_numpy()
@@ -238,7 +239,7 @@ def _verify(batches: Iterator[pa.RecordBatch], depth: int, done: int | None, wid
         for a, b in textbytes.slabs(offsets):
             sets += shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
         n = np.array([len(s) for s in sets], np.int64)
-        nodes, roots, texts, docs, bins = [], [], [], [], np.zeros(BINS + 1, np.int64)
+        nodes, roots, texts, docs = [], [], [], []
         for a, b in zip(units.starts.tolist(), units.stops.tolist(), strict=True):
             i, j = units.pairs(a, b)
             near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
@@ -248,7 +249,7 @@ def _verify(batches: Iterator[pa.RecordBatch], depth: int, done: int | None, wid
             both = common_counts(sets[a:b], i - a, j - a)
             similar = both / (n[i] + n[j] - both)
             linked = similar >= threshold
-            bins += np.bincount((similar[linked] * BINS).astype(np.int64), minlength=BINS + 1)
+            bins += np.bincount(((similar[linked] - threshold) * (BINS / max(1 - threshold, 1e-9))).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
             i, j = i[linked] - a, j[linked] - a
             if not len(i):
                 continue
@@ -269,8 +270,10 @@ def _verify(batches: Iterator[pa.RecordBatch], depth: int, done: int | None, wid
             docs.append(d[some].astype(np.int64))
         if nodes:
             cols = {k: pa.array(np.concatenate(v)) for k, v in (("node", nodes), ("root", roots), ("n_texts", texts), ("n_docs", docs))}
-            cols["bins"] = pa.array([bins.tolist(), *[None] * (len(cols["node"]) - 1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(cols)
+            yield pa.RecordBatch.from_pydict(cols | {"bins": pa.nulls(len(cols["node"]), pa.list_(pa.int64()))})
+    if bins.any():
+        none = {k: pa.nulls(1, pa.int64()) for k in ("node", "root", "n_texts", "n_docs")}
+        yield pa.RecordBatch.from_pydict(none | {"bins": pa.array([bins.tolist()], pa.list_(pa.int64()))})
 
 
 FOUND = "node long, root long, n_texts long, n_docs long, bins array<long>"
@@ -321,13 +324,13 @@ def _linked(docs: DataFrame, threshold: float, width: int, trees: int, recall: f
     while True:
         new = forest.at(depth, done, threshold)
         found = new if found is None else found.unionByName(new)
-        for k, n in new.filter("bins is not null").select(F.posexplode("bins")).groupBy("pos").sum("col").collect():  # BINS + 1 rows at most
-            bins[k] += n
+        bins += np.array([n or 0 for n in new.agg(*(F.sum(F.col("bins")[k]) for k in range(BINS + 1))).first()])
         reached[depth] = recall_found(bins, depth, threshold, trees)
         if reached[depth] >= recall or depth == shortest:
             break
         enough = [d for d in range(depth - 1, shortest, -1) if recall_found(bins, depth, threshold, trees, d) >= recall]
         depth, done = max(enough, default=shortest), depth
+    found = found.filter("node is not null")
     linked = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     groups = graph.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))
