@@ -6,20 +6,28 @@ capacity for each. Pieces, longest first, go to the open sequence that they fit
 least weighted norm of what would be left (``norm``), or by the greatest weighted dot product of piece and residual
 (``dot``).
 
+The contract's sequences are as few as can be of ``tokens``, so that the other two capacities are by default the
+loosest that a full sequence can need; give ``capacity`` smaller ones and they bind (pieces are then cut to fit alone).
+
 A piece's vector depends on its length alone, so best fit is run on the histogram of lengths: at most ``tokens``
 classes however many documents there are, with sequences of equal content kept as one entry and a count. The plan
 says for each class which of its ranks go where, and documents meet it by rank. Nothing that grows with the
 documents reaches the driver, and no packing is lost at the borders of partitions.
 
 Tokenising splits whole batches in numpy by the tokenizer's own pattern and looks words up in a table, so that byte
-pair merging runs once for each new word of a task.
+pair merging runs once for each new word of a task. Special tokens of the tokenizer's file that a text spells out are
+their own ids, as the tokenizer has it when it isn't told to add any; ``special=False`` reads them as plain text.
 
-Defined results: null and empty text is the end id alone; repeated rows are packed each; other columns are ignored.
+Ranks within a length are counted by partition of the pinned pieces, so neither a frequent length nor a repeated or
+null doc_id gathers in a task. Defined results: null and empty text is the end id alone; repeated rows and rows with a
+null doc_id are packed each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import sys
 import unicodedata
 import zlib
@@ -30,13 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common, textbytes
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Of a sequence: tokens, documents, sum of squared lengths.
-CAPACITY = (2048, 1024, 2048 * 2048)
+CAPACITY = (2048, 2048, 2048 * 2048)
 WEIGHTS = (1.0, 0.05, 0.05)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -93,10 +102,11 @@ def split(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 @lru_cache(2)
 def _merger(path: str):
-    """Ids of one word's bytes, for a byte-level BPE file of the tokenizers library."""
+    """Ids of one word's bytes, and of the special tokens, for a byte-level BPE file of the tokenizers library."""
     import tiktoken
 
-    model = json.load(open(path, encoding="utf-8"))["model"]
+    file = json.load(open(path, encoding="utf-8"))
+    model = file["model"]
     letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
     ranks = {bytes(of[c] for c in word): i for word, i in model["vocab"].items() if all(c in of for c in word)}
@@ -105,14 +115,21 @@ def _merger(path: str):
     if not plain or len(order) + len(of) < len(ranks) - 1:
         raise ValueError("not a vocabulary whose ids follow its merges")
     ranks = {w: i for w, i in ranks.items() if i < len(of) + len(order)}
-    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    if any(t[k] for t in file.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("special tokens that take blanks along aren't known here")
+    special = {t["content"].encode(): t["id"] for t in file.get("added_tokens", ())}
+    encode = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda word: encode(word.decode("utf-8", "surrogatepass")), special
 
 
 class Tokens:
     """Token ids of whole batches. Words met lately are in a table of ``2 ** bits`` places."""
 
-    def __init__(self, path: str, bits: int = 19, most: int = 300_000):
-        self._merge, self._shift, self._most = _merger(path), np.uint64(64 - bits), most
+    def __init__(self, path: str, special: bool = True, bits: int = 19, most: int = 300_000):
+        self._merge, named = _merger(path)
+        self._special = named if special else {}
+        self._named = re.compile(b"|".join(re.escape(x) for x in sorted(self._special, key=len, reverse=True))) if self._special else None
+        self._shift, self._most = np.uint64(64 - bits), most
         self._hash, self._word = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self._clear()
 
@@ -123,7 +140,7 @@ class Tokens:
         self._ids[0], self._n[0], self._words, self._used = END, 1, 1, 1  # word 0 is the end id
 
     def _add(self, word: bytes) -> int:
-        ids = self._merge(word)
+        ids = [self._special[word]] if word in self._special else self._merge(word)
         if self._words == len(self._at):
             self._at, self._n = np.resize(self._at, 2 * self._words), np.resize(self._n, 2 * self._words)
         if self._used + len(ids) > len(self._ids):
@@ -133,6 +150,15 @@ class Tokens:
         self._words, self._used = self._words + 1, self._used + len(ids)
         return self._words - 1
 
+    def _spelt(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Begin and end of the special tokens that texts spell out."""
+        whole = raw.tobytes()
+        if self._named is None or not self._named.search(whole):
+            return np.zeros((0, 2), np.int64)
+        at = at.tolist()
+        found = [m.span() for i, j in zip(at, at[1:], strict=False) for m in self._named.finditer(whole, i, j)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and where each text's begin."""
         if self._words > self._most:
@@ -142,7 +168,13 @@ class Tokens:
         points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         starts = np.searchsorted(lead, offsets[:-1] - base)
+        inner = self._spelt(raw, offsets - base)
+        if len(inner):  # what is before and after a special token is split on its own
+            starts = np.union1d(starts, np.searchsorted(lead, inner.ravel()))
         a = lead[split(points, starts)] if len(points) else np.zeros(0, np.int64)
+        if len(inner):
+            k = np.searchsorted(inner[:, 0], a, "right") - 1
+            a = a[(k < 0) | (a == inner[k, 0]) | (a >= inner[k, 1])]
         b = np.append(a[1:], len(raw)) if len(a) else a
         h = textbytes.Hasher(raw)(a, b) | np.uint64(1)
         slot = (h >> self._shift).astype(np.int64)
@@ -266,20 +298,33 @@ def best_fit(histogram: dict[int, int], capacity: tuple[int, int, int] = CAPACIT
     return plan
 
 
-def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", seed: int = 5) -> DataFrame:
+@textbytes.lean
+def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds sequence and place to pieces, by their length and rank in it."""
+    key = plan[:, 0] << 44 | plan[:, 1]
+    for batch in batches:
+        length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+        row = plan[np.searchsorted(key, length << 44 | rank, "right") - 1]
+        nth = rank - row[:, 1]
+        names = [n for n in batch.schema.names if n != "_rank"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length)],
+            names=[*names, "sequence_id", "offset"],
+        )
+
+
+def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """Adds sequence_id and offset to pinned pieces."""
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # a row for each possible length at most
-    spark = pieces.sparkSession
-    plan = spark.createDataFrame(best_fit(histogram, capacity, weights, rule), "_length long, _lo long, _hi long, _sequence long, _each long, _at long")
-    buckets = max(1, max(histogram.values(), default=0) // 5_000)  # ranges of the largest class
-    keyed = pieces.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "piece")).withColumn("_b", common.spread(F.col("_h"), buckets))
-    order = [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    rows = common.ranked(keyed, ["length"], "_b", order, "_rank")
-    rows = rows.join(common.small(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    nth = F.col("_rank") - F.col("_lo")
-    rows = rows.withColumn("sequence_id", F.col("_sequence") + F.floor(nth / F.col("_each"))).withColumn("offset", F.col("_at") + nth % F.col("_each") * F.col("length"))
-    return rows.select(*pieces.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
-
-
-def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, **options) -> DataFrame:
-    return pack(common.pin(tokenised(docs, path, with_ids=with_ids)), **options)
+    plan = np.array(sorted(best_fit(histogram, capacity, weights, rule)), np.int64).reshape(-1, 6)
+    shared = pieces.sparkSession.sparkContext.broadcast(plan)  # grows with the kinds of sequences, not with the pieces
+    keyed = pieces.select("*", F.spark_partition_id().alias("_b"), F.monotonically_increasing_id().alias("_h"))
+    rows = common.ranked(keyed, ["length"], "_b", [F.col("_h")], "_rank").drop("_b", "_h")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return rows.mapInArrow(lambda it: _place(it, shared.value), schema)
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, capacity: tuple[int, int, int] = CAPACITY, **options) -> DataFrame:
+    """Pieces of all documents in sequences. Pieces are cut so that each fits alone."""
+    most = min(capacity[0], math.isqrt(capacity[2]))
+    return pack(common.pin(tokenised(docs, path, most, with_ids)), capacity, **options)
