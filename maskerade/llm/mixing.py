@@ -13,8 +13,12 @@ what the last of them is off by is spread over the others' fractions before thes
 long document doesn't decide how near a source comes to its target. Draws are hashes of seed, level and both documents, and a
 chunk's order is by hash and key, so reruns agree.
 
+Rows of one doc_id, source and size are alike to the decisions: they are counted and numbered, in blocks of at most
+``REPEATS``, so that one document that is repeated without end, or many without a doc_id, neither gather in a task nor
+share a draw. The tables with a row for each source are small and ordered in one task.
+
 Defined results: null or empty text has size 0 and is taken as 0 words; a null source is a source of its own, last;
-repeated documents are documents of their own; with no words at all, targets are 0; other columns are ignored by
+repeated documents and those with a null doc_id are documents of their own; with no words at all, targets are 0; other columns are ignored by
 the decisions and kept by ``mix``.
 """
 
@@ -27,6 +31,8 @@ from . import common
 
 #: Documents that meet in one fold.
 CHUNK = 128
+#: Rows alike that are numbered in one go.
+REPEATS = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -59,10 +65,10 @@ def _meet(level: int, seed: int):
         return F.transform(F.array(value), body)[0]
 
     def settled(x: Column, take: Column | int) -> Column:
-        return F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), (F.lit(take) if isinstance(take, int) else take).cast("int").alias("take")))
+        return F.array(F.struct(x["doc_id"].alias("doc_id"), x["nth"].alias("nth"), x["size"].alias("size"), (F.lit(take) if isinstance(take, int) else take).cast("int").alias("take")))
 
     def left(x: Column, p: Column) -> Column:
-        return F.struct(x["k"].alias("k"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+        return F.struct(x["k"].alias("k"), x["doc_id"].alias("doc_id"), x["nth"].alias("nth"), x["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
 
     def step(acc: Column, b: Column) -> Column:
         a = acc["rest"]
@@ -86,15 +92,15 @@ def _meet(level: int, seed: int):
     return step
 
 
-REST = "struct<k:bigint,doc_id:bigint,size:bigint,p:double>"
-DONE = "array<struct<doc_id:bigint,size:bigint,take:int>>"
+REST = "struct<k:bigint,doc_id:bigint,nth:bigint,size:bigint,p:double>"
+DONE = "array<struct<doc_id:bigint,nth:bigint,size:bigint,take:int>>"
 
 
 def _tree(live: DataFrame, most: int, sources: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
     """Settles all rows: the settled ones of each level, and by source the words the last one is off by."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    chunk = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / CHUNK))
-    live = live.select("_s", chunk.alias("_c"), F.struct(key.alias("k"), "doc_id", F.col("size"), F.col("_p").alias("p")).alias("x"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "nth")
+    chunk = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "nth"), F.ceil(F.col("n") / CHUNK))
+    live = live.select("_s", chunk.alias("_c"), F.struct(key.alias("k"), "doc_id", "nth", F.col("size"), F.col("_p").alias("p")).alias("x"))
     settled, level, width = [], 0, -(-most // CHUNK)
     while True:
         met = live.groupBy("_s", "_c").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
@@ -102,19 +108,29 @@ def _tree(live: DataFrame, most: int, sources: int, seed: int) -> tuple[list[Dat
         )
         met = met.select("_s", "_c", F.col("m.rest").alias("x"), F.col("m.done").alias("done"))
         met = common.pin(met.coalesce(1 + width * sources // 100) if level else met)  # upper levels are few rows
-        settled.append(met.select("_s", F.explode("done").alias("d")).select("_s", "d.doc_id", "d.size", "d.take"))
+        settled.append(met.select("_s", F.explode("done").alias("d")).select("_s", "d.doc_id", "d.nth", "d.size", "d.take"))
         live = met.select("_s", F.floor(F.col("_c") / CHUNK).alias("_c"), "x")
         if width <= 1:
             break
         level, width = level + 1, -(-width // CHUNK)
     draw = (F.xxhash64(F.lit(seed), F.lit(-1), F.col("x.k")).cast("double") / F.lit(2.0**64)) + 0.5
-    last = live.select("_s", "x.doc_id", "x.size", "x.p", (draw < F.col("x.p")).cast("int").alias("take"))
+    last = live.select("_s", "x.doc_id", "x.nth", "x.size", "x.p", (draw < F.col("x.p")).cast("int").alias("take"))
     return [*settled, last.drop("p")], last.select("_s", ((F.col("p") - F.col("take")) * F.col("size")).alias("_off"))
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size) with a number ``nth`` from 0 among those that are alike. From a pinned table of their counts."""
+    alike = common.pin(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_m")))
+    rows = alike.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / REPEATS))))
+    if (alike.agg(F.max("_m")).first()[0] or 0) > REPEATS:
+        rows = rows.repartition(common.shuffle_partitions(sizes.sparkSession), "doc_id", "source", "size", "_block")
+    first = F.col("_block") * REPEATS
+    return rows.withColumn("nth", F.explode(F.sequence(first, F.least(first + REPEATS, F.col("_m")) - 1))).select("doc_id", "source", "size", "nth")
+
+
 def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 29) -> DataFrame:
-    """doc_id, size, source_size, target and ``copies`` for each row of (doc_id, source, size)."""
-    sizes = common.pin(sizes)
+    """doc_id, source, size, nth (among rows alike), source_size, target and ``copies`` for each row of (doc_id, source, size)."""
+    sizes = numbered(sizes)
     stats = common.pin(targets(sizes, weights, cap).withColumn("_s", F.monotonically_increasing_id()))
     sources, most = stats.agg(F.count("*"), F.max("n")).first()
     most = most or 0
@@ -124,7 +140,7 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     rows = sizes.join(near(facts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_want", want)
     rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
     open_ = (F.col("size") > 0) & (F.col("_p") > 1e-12)
-    settled = [rows.filter(~open_).select("_s", "doc_id", "size", F.lit(0).alias("take"))]
+    settled = [rows.filter(~open_).select("_s", "doc_id", "nth", "size", F.lit(0).alias("take"))]
     live = rows.filter(open_).withColumn("_long", F.col("size") > F.col("source_size") / F.col("n"))
     parts, last = _tree(live.filter("_long"), most, sources, seed)
     settled += parts
@@ -136,27 +152,32 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
-    wholes = facts.select("_s", "source_size", "target", F.floor(want + 1e-12).alias("_whole"))
-    copies = (F.col("_whole") + F.col("take")).cast("long")
-    return done.join(near(wholes), "_s").select("doc_id", "size", F.col("source_size").cast("long"), "target", F.least(copies, F.lit(int(cap)).cast("long")).alias("copies"))
+    wholes = facts.select("_s", F.col("_source").alias("source"), "source_size", "target", F.floor(want + 1e-12).alias("_whole"))
+    copies = F.least((F.col("_whole") + F.col("take")).cast("long"), F.lit(int(cap)).cast("long"))
+    return done.join(near(wholes), "_s").select("doc_id", "source", "size", "nth", F.col("source_size").cast("long"), "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as decided, with the columns of ``docs``.
 
-    Decisions meet their documents by doc_id; where it repeats, in the order of sizes, so each finds one of its own size.
+    Decisions meet their documents by doc_id, source and size; rows alike in these are numbered by where they are.
     """
-    sized = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))  # names of theirs can't clash with ours
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # names of theirs can't clash with ours
     sized = sized.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), common.word_count(F.col("row.text")).alias("size"))
-    decided = decide(sized.select("doc_id", "source", "size"), **options)
-    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    left = sized.withColumn("nth", nth("size", "source", "row.text")).alias("l")
-    right = decided.withColumn("nth", nth("size", "copies")).select("doc_id", "nth", "copies").alias("r")
-    met = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.nth") == F.col("r.nth")))
-    return met.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    keys = ["doc_id", "source", "size"]
+    decided = common.pin(decide(sized.select(*keys), **options).select(*keys, "nth", "copies"))
+    same = lambda names: common._all([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names])
+    repeated = common.small(decided.filter("nth = 1").select(*keys)).alias("r")
+    rows = sized.alias("l").join(repeated, same(keys), "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        again = common.pin(sized.alias("l").join(repeated, same(keys), "left_semi"))
+        again = again.select("*", F.spark_partition_id().alias("_b"), F.monotonically_increasing_id().alias("_h"))
+        rows = rows.unionByName(common.ranked(again, keys, "_b", [F.col("_h")], "nth").drop("_b", "_h"))
+    met = rows.alias("l").join(decided.filter("copies > 0").alias("r"), same([*keys, "nth"]))
+    return met.select("l.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.copies")))).select("row.*")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count(F.col("text")).alias("size"))
     return decide(sized, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
