@@ -2,20 +2,30 @@
 
 Counts of words and word pairs are quantised to levels, level j standing for counts from ``BASE ** (j - 1)``. The
 filter holds (n-gram, 1), ..., (n-gram, its level); a count is read back by asking for level 1, 2, ... until one is
-missing. It holds every word and word pair that occurs, however large the corpus, in parts by n-gram hash. Pairs of at
-least the share ``HELD`` of all tokens and words of at least ``FREQUENT`` are broadcast besides (at most 1 / share of
-them); all others are asked of their part by shuffle, a row of packed hashes for each stretch of text and part, and the
-levels go back to the stretch. These shares say what travels how, not what is known. The score interpolates:
-P(w | u) = PAIR c(u w) / c(u) + (1 - PAIR) P(w), with P(w) its share, and for words never met that of the exact base.
+missing, and stands for the mean of its level. It holds every word and word pair that occurs, however large the corpus,
+in parts by n-gram hash. Pairs of at least the share ``HELD`` of all tokens and words of at least ``FREQUENT`` are a
+filter of their own that is broadcast (at most 1 / share of them); all others are asked of their part by shuffle. These
+shares say what travels how, not what is known. Behind each filter stand short hashes of what it holds, so that an
+n-gram that it lacks isn't taken for one that it has.
+
+The score is the log10 probability of the text under a model whose masses are 1:
+
+    P(w) = (q(w) + 1) / (sum of q + V + 1), and 1 / (sum of q + V + 1) for the class of all words never met
+    P(w | u) = (q(u w) + PRIOR P(w)) / (S(u) + PRIOR), S(u) the sum of q(u w) over the words after u
+
+with q as the filters read it, also in the sums. An unknown pair or context backs off to P(w) by its whole mass.
 
 Beside it stands the exact unigram base, from the broadcast words and from the exact counts that the rarer words meet
 in their parts.
 
-Counts are over the whole texts of all documents learnt from: tasks count what they hold, buckets of hashes sum up.
-Words are told apart by 64-bit hashes, pairs by their bucket and 48 bits.
+Counts are over the whole texts of all documents learnt from: tasks count what they hold, parts sum up. Parts are by
+the hash of a pair's first word, so that a context's sum is at hand, but pairs of words that would make a part hot are
+spread by their own hash and their sums added up. There is a part for each ``PART`` bytes of text. Words are told apart
+by 64-bit hashes, pairs by their part and 40 bits.
 
 Defined results: null and empty text is its end token alone; a null doc_id counts as an empty one; repeated rows
-count and are scored each; with nothing to learn from, N and V are 0 and every count is 0; other columns are ignored.
+count and are scored each; with nothing to learn from, N and V are 0, every count is 0 and a token's probability 1;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +42,18 @@ from pyspark.sql import functions as F
 
 from . import common, textbytes
 
-HELD, FREQUENT, BASE, PAIR = 5e-7, 5e-7, 2.0, 0.4
-#: Pairs of fewer occurrences are never broadcast.
-FEWEST = 2
+HELD, FREQUENT, BASE, PRIOR = 5e-7, 5e-7, 2, 4.0
 #: Filter bits for each (n-gram, level), and bits set for one.
 BITS, PROBES = 16, 4
-#: Tokens that a task counts before it emits.
-STRETCH = 2_000_000
+#: Tokens that a task counts before it emits, and that it asks for at once.
+STRETCH, ASKS = 2_000_000, 500_000
+#: Bytes of text for each part, and the share of a part's tokens from which a word's pairs are spread.
+PART, HOT = 64_000_000, 0.125
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
-UNIGRAM, PAIRS = 0, 1
-
 
 def train_part() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
@@ -60,128 +68,165 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.concatenate(([0], ends + np.arange(1, len(at))))
 
 
-def pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it in its text."""
+def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The token before each token in its text."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[at[:-1]] = BEGIN
+    return before
+
+
+def pairs(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it."""
     return textbytes.combined([before, h])
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Monotone in the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _route(before: np.ndarray, two: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """The part of each pair."""
+    return _bucket(np.where(_among(hot, before)[1], two, before), buckets)
+
+
+def _among(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value is in a sorted array, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return at, known[at] == h
+
+
+def low(two: np.ndarray) -> np.ndarray:
+    """The 40 bits that tell pairs apart in a part."""
+    return two & np.uint64((1 << 40) - 1)
 
 
 def _packed(h: np.ndarray) -> bytes:
-    """The low 48 bits of each hash."""
-    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _unpacked(raw: pa.Buffer | bytes) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    flat = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :6] = flat
+    out[:, :5] = flat
     return out.reshape(-1).view("<u8")
 
 
-def _low(h: np.ndarray) -> np.ndarray:
-    return h & np.uint64((1 << 48) - 1)
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The mean of the counts of each level, 0 of level 0."""
+    first = BASE ** np.maximum(np.asarray(level, np.float64) - 1, 0)
+    return np.where(np.asarray(level) > 0, (first + first * BASE - 1) / 2, 0.0)
 
 
-def _levels(n: np.ndarray) -> np.ndarray:
-    """The level of each count, 0 for 0."""
-    return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64) + 1, 0)
+def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _blobs(kind: int, h: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple]:
-    edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        lo, hi = edges[k], edges[k + 1]
-        yield kind, k, _packed(h[lo:hi]) if kind == PAIRS else h[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes()
-
-
-COUNTED = "kind int, bucket int, h binary, n binary"
-MERGED = "kind int, bucket int, types long, total long, h binary, n binary, filter binary"
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        buf, offsets, _ = textbytes.raw_text(batch.column("text"))
+        for i, j in textbytes.slabs(offsets):
+            yield tokens(buf, offsets[i : j + 1])
 
 
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+COUNTED = "bucket int, h binary, n binary"
+WORDS_OF = "bucket int, types long, total long, h binary, n binary, filter binary"
+PAIRS_COUNTED = "bucket int, u binary, runs binary, h binary, n binary"
+PAIRS_OF = "bucket int, u binary, runs binary, h binary, filter binary"
 
 
 @textbytes.lean
-def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {UNIGRAM: [], PAIRS: []}
+def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
 
     def rows():
-        for kind, parts in held.items():
-            if parts:
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                parts.clear()
-                if blobs := list(_blobs(kind, h, n, buckets)):
-                    yield _batch(blobs, ["kind", "bucket", "h", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        edges = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+        made = [(k, h[edges[k] : edges[k + 1]].tobytes(), n[edges[k] : edges[k + 1]].astype("<u4").tobytes()) for k in np.flatnonzero(np.diff(edges)).tolist()]
+        yield _batch(["bucket", "h", "n"], [pa.int32(), pa.binary(), pa.binary()], made)
+
+    for h, _ in _texts(batches):
+        held.append(h)
+        if sum(map(len, held)) >= STRETCH:
+            yield from rows()
+    if held:
+        yield from rows()
 
-    for batch in batches:
-        buf, offsets, _ = textbytes.raw_text(batch.column("text"))
-        for i, j in textbytes.slabs(offsets):
-            h, at = tokens(buf, offsets[i : j + 1])
-            held[UNIGRAM].append(h)
-            held[PAIRS].append(pairs(h, at))
-            if sum(map(len, held[UNIGRAM])) >= STRETCH:
-                yield from rows()
-    yield from rows()
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
-def _arrays(kind: int, h: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of packed parts summed by hash."""
-    hs = np.concatenate([_unpacked(x.as_buffer()) if kind == PAIRS else np.frombuffer(x.as_buffer(), np.uint64) for x in h] or [np.zeros(0, np.uint64)])
-    ns = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in n] or [np.zeros(0, "<u4")]).astype(np.int64)
-    order = np.argsort(hs, kind="stable")
-    hs, ns = hs[order], ns[order]
-    first = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.zeros(0, np.int64)
-    return hs[first], np.add.reduceat(ns, first) if len(first) else ns
+@textbytes.lean
+def _merge_words(table: pa.Table, bits: int) -> pa.Table:
+    """A part's words with their counts and its filter."""
+    h, back = np.unique(_joined(table.column("h"), "<u8"), return_inverse=True)
+    n = np.bincount(back, weights=_joined(table.column("n"), "<u4"), minlength=len(h)).astype("<i8")
+    row = (table.column("bucket")[0].as_py(), len(h), int(n.sum()), h.tobytes(), n.tobytes(), Filter(h, n, 1, bits).dump())
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    return pa.Table.from_batches([_batch(["bucket", "types", "total", "h", "n", "filter"], types, [row])])
 
 
 @textbytes.lean
-def _merge(table: pa.Table) -> pa.Table:
-    """Words with their counts; of pairs the part of the filter that holds them all, and those that may be broadcast with their levels."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    h, n = _arrays(kind, table.column("h"), table.column("n"))
-    if kind == PAIRS:
-        some = n >= FEWEST
-        blobs = _packed(h[some]), _levels(n[some]).astype(np.uint8).tobytes(), Filter([(h, n)], 1).dump()
-    else:
-        blobs = h.tobytes(), n.astype("<i8").tobytes(), b""
-    row = (kind, bucket, len(h), int(n.sum()), *blobs)
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
-    return pa.table({k: pa.array([v], t) for k, v, t in zip(("kind", "bucket", "types", "total", "h", "n", "filter"), row, types, strict=True)})
+def _count_pairs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """By part: contexts, how many pairs each has, the pairs and their counts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows():
+        two, one, n = np.unique(np.concatenate([t for _, t in held]), return_index=True, return_counts=True)
+        u = np.concatenate([u for u, _ in held])[one]
+        held.clear()
+        part = _route(u, two, hot, buckets)
+        order = np.lexsort((u, part))
+        u, two, n, part = u[order], two[order], n[order], part[order]
+        edges = np.searchsorted(part, np.arange(buckets + 1))
+        made = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[k], edges[k + 1]
+            own, runs = np.unique(u[lo:hi], return_counts=True)
+            made.append((k, own.tobytes(), runs.astype("<u4").tobytes(), _packed(two[lo:hi]), n[lo:hi].astype("<u4").tobytes()))
+        yield _batch(["bucket", "u", "runs", "h", "n"], [pa.int32(), *[pa.binary()] * 4], made)
+
+    for h, at in _texts(batches):
+        before = contexts(h, at)
+        held.append((before, pairs(before, h)))
+        if sum(len(u) for u, _ in held) >= STRETCH:
+            yield from rows()
+    if held:
+        yield from rows()
 
 
 @textbytes.lean
-def _least(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Words of at least a count; pairs of at least a level."""
-    for batch in batches:
-        for kind, h, n in zip(batch.column("kind").to_pylist(), batch.column("h"), batch.column("n"), strict=True):
-            h = _unpacked(h.as_buffer()) if kind == PAIRS else np.frombuffer(h.as_buffer(), np.uint64)
-            n = np.frombuffer(n.as_buffer(), np.uint8 if kind == PAIRS else "<i8").astype("<i8")
-            some = n >= least[kind]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "h": pa.array([h[some].tobytes()]), "n": pa.array([n[some].tobytes()])})
+def _merge_pairs(table: pa.Table, bits: int) -> pa.Table:
+    """A part's pairs by context and its filter."""
+    u = np.repeat(_joined(table.column("u"), "<u8"), _joined(table.column("runs"), "<u4"))
+    raw = np.concatenate([_unpacked(x.as_buffer()) for x in table.column("h")])
+    h, one, back = np.unique(raw, return_index=True, return_inverse=True)
+    n = np.bincount(back, weights=_joined(table.column("n"), "<u4"), minlength=len(h)).astype(np.int64)
+    order = np.argsort(u[one], kind="stable")
+    own, runs = np.unique(u[one], return_counts=True)
+    row = (table.column("bucket")[0].as_py(), own.tobytes(), runs.astype("<u4").tobytes(), _packed(h[order]), Filter(h, n, 1, bits).dump())
+    return pa.Table.from_batches([_batch(["bucket", "u", "runs", "h", "filter"], [pa.int32(), *[pa.binary()] * 4], [row])])
 
 
 class Filter:
     """The log-frequency Bloom filter."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], least: int):
+    def __init__(self, h: np.ndarray, n: np.ndarray, least: int = 1, bits: int = BITS):
+        """``least``: no count is below it, so that its level is the first."""
         self.least = least
-        levels = [np.floor(np.log(np.maximum(n / least, 1.0)) / math.log(BASE) + 1e-9).astype(np.int64) + 1 for _, n in parts]
-        entries = sum(int(x.sum()) for x in levels)
-        self.bits = max(10, math.ceil(math.log2(max(1, entries) * BITS)))
+        level = np.floor(np.log(np.maximum(n / least, 1.0)) / math.log(BASE) + 1e-9).astype(np.int64) + 1
+        self.bits = max(10, math.ceil(math.log2(max(1, int(level.sum())) * bits)))
         self.table = np.zeros(1 << (self.bits - 3), np.uint8)
-        self.most = max([int(x.max()) for x in levels if len(x)], default=0)
-        for (h, _), level in zip(parts, levels, strict=True):
-            for j in range(1, self.most + 1):
-                for place in self._places(h[level >= j], j):
-                    np.bitwise_or.at(self.table, place >> np.uint64(3), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
+        self.most = int(level.max(initial=0))
+        for j in range(1, self.most + 1):
+            for place in self._places(h[level >= j], j):
+                np.bitwise_or.at(self.table, place >> np.uint64(3), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
 
     def dump(self) -> bytes:
         return np.array([self.least, self.bits, self.most], "<i8").tobytes() + self.table.tobytes()
@@ -199,7 +244,7 @@ class Filter:
         return [((x + step * np.uint64(i * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - self.bits)) for i in range(PROBES)]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The levels of n-grams above the least count, 0 for those that it lacks."""
+        """The levels of n-grams, 0 for those that it lacks."""
         level = np.zeros(len(h), np.int64)
         live = np.arange(len(h))
         for j in range(1, self.most + 1):
@@ -212,106 +257,155 @@ class Filter:
             if not len(live):
                 break
             level[live] = j
-        return level
+        return np.where(level > 0, level + round(math.log(self.least, BASE)), 0)
+
+
+class Held:
+    """A filter, and behind it the short hashes of what it holds."""
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The quantised counts of n-grams, 0 for those that it lacks."""
-        level = self.levels(h)
-        return np.where(level > 0, self.least * BASE ** (level - 1) * (1 + BASE) / 2, 0.0)
+    def __init__(self, filter_: Filter, known: np.ndarray):
+        self.filter, self.known = filter_, np.sort(known)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels as the filter reads them, 0 for n-grams that aren't held."""
+        one, back = np.unique(h, return_inverse=True)
+        level = self.filter.levels(one)
+        some = np.flatnonzero(level)
+        level[some] = np.where(_among(self.known, one[some])[1], level[some], 0)
+        return level[back]
 
 
 class Model:
-    """Totals, the table of frequent words, the filter's part that is broadcast."""
+    """Totals, the filters that are broadcast, the sums of the contexts among their words."""
 
-    def __init__(self, total: int, types: int, words: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], least: dict[int, int]):
-        self.total, self.types = total, types
+    def __init__(self, total: int, types: int, words: tuple[np.ndarray, np.ndarray], least: int, rest: float, hot: np.ndarray, buckets: int, bits: int):
+        self.total, self.types, self.hot, self.buckets = total, types, hot, buckets
         order = np.argsort(words[0])
-        self.words, self.word_counts = words[0][order], words[1][order]
-        self.filters = [Filter([words], least[UNIGRAM]), Filter([two], least[PAIRS])]
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.word_counts[at], 0)
-
-    def levels(self, kind: int, h: np.ndarray) -> np.ndarray:
-        """Levels of frequent n-grams, 0 for others."""
-        one, back = np.unique(h, return_inverse=True)
-        level = self.filters[kind].levels(one)
-        return np.where(level > 0, level + _levels(np.array([self.filters[kind].least]))[0] - 1, 0)[back]
+        self.words, self.counts = words[0][order], words[1][order]
+        self.alone = Held(Filter(self.words, self.counts, least, bits), self.words)
+        #: Sum of quantised counts and of one for each word and for the class of unknown ones.
+        self.mass = float(quantised(self.alone.levels(self.words)).sum()) + rest + types + 1
+        self.pairs = Held(Filter(np.zeros(0, np.uint64), np.zeros(0)), np.zeros(0, np.uint64))
+        self.sums = np.zeros(len(self.words))
+        self.begin = 0.0
+
+    def log(self, both: np.ndarray, alone: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """log10 P of tokens from the levels of pair and word and the sum of the context."""
+        return np.log10((quantised(both) + PRIOR * (quantised(alone) + 1) / self.mass) / (sums + PRIOR))
 
+    def log_base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 1.0) / (self.total + self.types + 1.0))
 
-def log_base(n: np.ndarray, total: int, types: int) -> np.ndarray:
-    return np.log10((n + 1.0) / (total + types + 1.0))
 
+def _part_sums(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of a part and the sums of their pairs there, as pairs are read."""
+    h, u = _unpacked(row["h"]), np.frombuffer(row["u"], "<u8")
+    level = model.pairs.levels(h)
+    rare = level == 0
+    level[rare] = Filter.load(row["filter"]).levels(h[rare])
+    runs = np.frombuffer(row["runs"], "<u4").astype(np.int64)
+    return u, np.add.reduceat(quantised(level), np.cumsum(runs) - runs) if len(runs) else np.zeros(0)
 
-def log_model(alone: np.ndarray, both: np.ndarray, at: np.ndarray, total: int, types: int) -> np.ndarray:
-    """log10 P of each token after the one before it, by the levels of words and pairs."""
-    count = np.concatenate(([0.0], BASE ** np.arange(255) * (1 + BASE) / 2))
-    p = np.where(alone > 0, count[alone] / max(total, 1), 1.0 / (total + types + 1.0))
-    before = np.empty(len(alone))
-    before[1:] = count[alone][:-1]
-    before[at[:-1]] = count[alone][at[1:] - 1]  # as many begin as end
-    return np.log10(PAIR * np.where((both > 0) & (before > 0), np.minimum(count[both] / np.maximum(before, 1.0), 1.0), 0.0) + (1 - PAIR) * np.minimum(p, 1.0))
 
+def _buffers(batch, i: int, *names: str) -> dict:
+    return {n: batch.column(n)[i].as_buffer() for n in names}
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the pinned table of all exact word counts and of the filter, in buckets."""
-    buckets = max(12, common.shuffle_partitions(docs.sparkSession))
-    counted = docs.filter(train_part()).select("text").mapInArrow(lambda it: _count(it, buckets), COUNTED)
-    merged = common.pin(counted.groupBy("kind", "bucket").applyInArrow(_merge, MERGED))
-    sums = merged.filter(F.col("kind") == UNIGRAM).agg(F.sum("total"), F.sum("types")).first()
-    total, types = int(sums[0] or 0), int(sums[1] or 0)
+
+def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, and the pinned parts of all words and of all pairs."""
+    spark = docs.sparkSession
+    learnt = docs.filter(train_part()).select("text")
+    size = learnt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(12, common.shuffle_partitions(spark), -(-size // PART))
+    words = common.pin(learnt.mapInArrow(lambda it: _count_words(it, buckets), COUNTED).groupBy("bucket").applyInArrow(lambda t: _merge_words(t, bits), WORDS_OF))
+    total, types = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("types")).first())
     # powers of the base, so that levels are the same wherever they are read
-    power = {k: max(low, math.ceil(math.log(max(1.0, share * total), BASE) - 1e-9)) for k, share, low in ((UNIGRAM, FREQUENT, 0), (PAIRS, HELD, round(math.log(FEWEST, BASE))))}
-    least = {k: round(BASE**x) for k, x in power.items()}
-    floor = {UNIGRAM: least[UNIGRAM], PAIRS: power[PAIRS] + 1}
-    found: dict[int, list] = {UNIGRAM: [], PAIRS: []}
-    for r in merged.select("kind", "h", "n").mapInArrow(lambda it: _least(it, floor), "kind int, h binary, n binary").collect():  # at most 1 / share n-grams of an order
-        found[r["kind"]].append((np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], "<i8")))
-    join = lambda parts: tuple(np.concatenate([p[i] for p in parts] or [np.zeros(0, (np.uint64, np.int64)[i])]) for i in (0, 1))
-    words, (two, level) = join(found[UNIGRAM]), join(found[PAIRS])
-    return Model(total, types, words, (two, BASE ** (level - 1.0)), least), merged
-
-
-#: VOCABULARY and FILTER are a bucket's words and pairs, the others what a stretch of text asks of it, and the stretch itself.
-VOCABULARY, FILTER, WORDS, TWO, DOCUMENT = range(5)
+    power = {k: max(0, math.ceil(math.log(max(1.0, share * total), BASE) - 1e-9)) for k, share in (("words", FREQUENT), ("pairs", HELD))}
+    least = BASE ** power["words"]
+
+    @textbytes.lean
+    def frequent(batches):
+        """Frequent words, and the quantised sum of the others."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _buffers(batch, i, "h", "n", "filter")
+                h, n = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["n"], "<i8")
+                some = n >= least
+                rest = float(quantised(Filter.load(row["filter"]).levels(h[~some])).sum())
+                yield _batch(["h", "n", "rest"], [pa.binary(), pa.binary(), pa.float64()], [(h[some].tobytes(), n[some].tobytes(), rest)])
+
+    rows = words.select("h", "n", "filter").mapInArrow(frequent, "h binary, n binary, rest double").collect()  # at most 1 / share words
+    found = [np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in (("h", "<u8"), ("n", "<i8"))]
+    hot = np.sort(np.append(found[0][found[1] >= HOT * total / buckets], BEGIN))
+    model = Model(total, types, tuple(found), least, math.fsum(r["rest"] for r in rows), hot, buckets, bits)
+    two = common.pin(learnt.mapInArrow(lambda it: _count_pairs(it, hot, buckets), PAIRS_COUNTED).groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, bits), PAIRS_OF))
+    floor = power["pairs"] + 1
+
+    @textbytes.lean
+    def often(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _buffers(batch, i, "h", "filter")
+                h = _unpacked(row["h"])
+                level = Filter.load(row["filter"]).levels(h)
+                some = level >= floor
+                yield _batch(["h", "level"], [pa.binary(), pa.binary()], [(h[some].tobytes(), level[some].astype(np.uint8).tobytes())])
+
+    if power["pairs"]:  # else the parts alone hold what little there is
+        rows = two.select("h", "filter").mapInArrow(often, "h binary, level binary").collect()  # at most 2 / share pairs
+        h, level = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in (("h", "<u8"), ("level", np.uint8)))
+        model.pairs = Held(Filter(h, BASE ** (level - 1.0), BASE ** power["pairs"], bits), h)
+    shared = spark.sparkContext.broadcast(model)
+
+    @textbytes.lean
+    def sums(batches):
+        m = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, s = _part_sums(m, _buffers(batch, i, "u", "runs", "h", "filter"))
+                some = _among(m.words, u)[1] | (u == BEGIN)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u[some].view(np.int64)), "s": pa.array(s[some])})
+
+    known = two.mapInArrow(sums, "u long, s double").groupBy("u").agg(F.sum("s").alias("s")).toPandas()  # a row for each frequent word
+    at, there = _among(model.words, known["u"].to_numpy(np.int64).view(np.uint64))
+    model.sums[at[there]] = known["s"].to_numpy(float)[there]
+    model.begin = float(known["s"].to_numpy(float)[~there].sum())
+    return model, words, two
+
+
+#: WORDS and TWO are what a stretch of text asks a part for, DOCUMENT is the stretch itself, the others the part.
+WORDS, TWO, DOCUMENT, VOCABULARY, PAIRS = range(5)
 #: Stands for a level that is asked for.
 ASKED = 255
-ROUTED = "kind int, bucket int, stretch long, h binary, n binary"
+ROUTED = "kind int, bucket int, stretch long, h binary, n binary, u binary, runs binary, filter binary"
+ANSWERED = "kind int, bucket int, stretch long, h binary, n binary, s binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "bucket", "stretch", "h", "n"), columns, types, strict=True)})
+FACTS = np.dtype([("doc", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("open", "<i8"), ("base", "<f8"), ("score", "<f8"), ("out", "u1"), ("null", "u1")])
+_KEYS = [pa.int32(), pa.int32(), pa.int64()]
 
 
 @textbytes.lean
-def _ask(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per stretch: its documents with the levels known here, and by bucket the words and pairs whose counts are elsewhere."""
-    part = TaskContext.get().partitionId()
+def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Sums what is known here; per stretch its documents with what is open, and by part what is asked for it."""
+    part, buckets = TaskContext.get().partitionId(), model.buckets
     stretch, size = part << 40, 0
     held: dict[str, list[np.ndarray]] = {}
+    names, types = ["kind", "bucket", "stretch", "h", "n", "u", "runs", "filter"], [*_KEYS, *[pa.binary()] * 5]
 
     def flush():
         got = {k: np.concatenate(v) for k, v in held.items()}
         held.clear()
         where, rows = [], []
-        for kind, h in ((WORDS, got["words"]), (TWO, got["two"])):
-            bucket = _bucket(h, buckets).astype(np.int64)
+        for kind, h, bucket in ((WORDS, got["words"], _bucket(got["words"], buckets)), (TWO, got["two"], _route(got["before"], got["two"], model.hot, buckets))):
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             where.append(bucket.astype("<u4").tobytes())
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 some = h[order[edges[k] : edges[k + 1]]]
-                rows.append((kind, k, stretch, some.tobytes() if kind == WORDS else _packed(some), b""))
-        streams = [got["alone"].tobytes(), got["both"].tobytes(), *where]
-        rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes()))
-        yield from _table(rows).to_batches()
+                rows.append((kind, k, stretch, some.tobytes() if kind == WORDS else _packed(some), *[None] * 4))
+        streams = [got["alone"].tobytes(), got["both"].tobytes(), got["sums"].tobytes(), *where]
+        rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes(), *[None] * 3))
+        yield _batch(names, types, rows)
 
     for batch in batches:
         buf, offsets, _ = textbytes.raw_text(batch.column("text"))
@@ -319,76 +413,87 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Itera
         out = batch.column("held_out").to_numpy(zero_copy_only=False)
         for i, j in textbytes.slabs(offsets):
             h, at = tokens(buf, offsets[i : j + 1])
-            n = model.exact(h)
-            text = np.repeat(np.arange(j - i), np.diff(at))
-            known = n > 0
-            two = pairs(h, at)
-            alone = np.where(known, model.levels(UNIGRAM, h), ASKED).astype(np.uint8)
-            both = model.levels(PAIRS, _low(two))
+            one, back = np.unique(h, return_inverse=True)
+            place, frequent = _among(model.words, one)
+            alone = np.where(frequent, model.alone.levels(one), ASKED)[back].astype(np.uint8)
+            n = np.where(frequent, model.counts[place] if len(model.words) else 0, 0)[back]
+            own = np.where(frequent, model.sums[place] if len(model.words) else 0.0, np.nan)[back]
+            sums = np.empty(len(h))
+            sums[1:] = own[:-1]
+            sums[at[:-1]] = model.begin
+            before = contexts(h, at)
+            two = pairs(before, h)
+            both = model.pairs.levels(low(two))
             both = np.where(both > 0, both, ASKED).astype(np.uint8)
+            text = np.repeat(np.arange(j - i), np.diff(at))
+            known = alone != ASKED
+            open_ = ~known | (both == ASKED) | np.isnan(sums)
+            done = ~open_
             facts = np.zeros(j - i, FACTS)
             facts["doc"] = [x if x is not None else 0 for x in ids[i:j]]
             facts["null"] = [x is None for x in ids[i:j]]
             facts["out"] = out[i:j]
             facts["tokens"] = np.diff(at)
             facts["known"] = np.bincount(text, weights=known, minlength=j - i)
-            facts["base"] = np.bincount(text, weights=np.where(known, log_base(n, model.total, model.types), 0.0), minlength=j - i)
-            for k, v in (("alone", alone), ("both", both), ("words", h[~known]), ("two", two[both == ASKED]), ("facts", facts)):
+            facts["open"] = np.bincount(text, weights=open_, minlength=j - i)
+            facts["base"] = np.bincount(text, weights=np.where(known, model.log_base(n), 0.0), minlength=j - i)
+            facts["score"] = np.bincount(text[done], weights=model.log(both[done], alone[done], sums[done]), minlength=j - i)
+            asked = open_ & (both == ASKED)
+            for k, v in (("alone", alone[open_]), ("both", both[open_]), ("sums", sums[open_].astype("<f4")), ("words", h[~known]), ("two", two[asked]), ("before", before[asked]), ("facts", facts)):
                 held.setdefault(k, []).append(v)
             size += len(h)
-            if size >= STRETCH // 4:
+            if size >= ASKS:
                 yield from flush()
                 stretch, size = stretch + 1, 0
     if held:
         yield from flush()
 
 
-FACTS = np.dtype([("doc", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("out", "u1"), ("null", "u1")])
-
-
 @textbytes.lean
-def _answer(table: pa.Table) -> pa.Table:
-    """What a bucket knows of the words (levels and counts) and pairs (levels) that each stretch asks for; stretches go through."""
-    kinds = table.column("kind").to_numpy()
-    bucket = table.column("bucket")[0].as_py()
-    cell = lambda name, i: table.column(name)[i].as_buffer()
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _answer(table: pa.Table, model: Model) -> pa.Table:
+    """What a part knows of the words (levels, counts, sums after them) and pairs (levels) that each stretch asks for; stretches go through."""
+    kinds, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
+    words, counts, sums, levels = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<f4"), np.zeros(0, np.int64)
+    two = None
     for i in np.flatnonzero(kinds == VOCABULARY).tolist():
-        words, counts = np.frombuffer(cell("h", i), np.uint64), np.frombuffer(cell("n", i), "<i8")
-    alone, both = Filter([(words, counts)], 1), None
-    for i in np.flatnonzero(kinds == FILTER).tolist():
-        both = Filter.load(cell("h", i))
+        row = _buffers(table, i, "h", "n", "filter")
+        words, counts = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["n"], "<i8")
+        levels, sums = Filter.load(row["filter"]).levels(words), np.zeros(len(words), "<f4")
+    for i in np.flatnonzero(kinds == PAIRS).tolist():
+        row = _buffers(table, i, "u", "runs", "h", "filter")
+        two = Held(Filter.load(row["filter"]), _unpacked(row["h"]))
+        u, s = _part_sums(model, row)
+        at, there = _among(words, u)
+        sums[at[there]] = s[there]
     rows = []
-    for i in np.flatnonzero(kinds >= WORDS).tolist():
+    for i in np.flatnonzero(kinds <= DOCUMENT).tolist():
         kind, stretch = int(kinds[i]), table.column("stretch")[i].as_py()
         if kind == DOCUMENT:
-            rows.append((kind, bucket, stretch, cell("h", i).to_pybytes(), cell("n", i).to_pybytes()))
+            rows.append((kind, bucket, stretch, table.column("h")[i].as_py(), table.column("n")[i].as_py(), None))
         elif kind == WORDS:
-            h = np.frombuffer(cell("h", i), np.uint64)
-            at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-            n = np.where(words[at] == h, counts[at], 0) if len(words) else np.zeros(len(h), np.int64)
-            level = np.where(n > 0, alone.levels(h), 0)
-            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), n.astype("<u4").tobytes()))
+            at, there = _among(words, np.frombuffer(table.column("h")[i].as_buffer(), "<u8"))
+            pick = lambda x, t: (np.where(there, x[at], 0) if len(words) else np.zeros(len(at))).astype(t).tobytes()  # noqa: B023, E731
+            rows.append((kind, bucket, stretch, pick(levels, np.uint8), pick(counts, "<u4"), pick(sums, "<f4")))
         else:
-            h = _unpacked(cell("h", i))
-            level = both.levels(h) if both is not None else np.zeros(len(h), np.int64)
-            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), b""))
-    return _table(rows)
+            h = _unpacked(table.column("h")[i].as_buffer())
+            level = two.levels(h) if two is not None else np.zeros(len(h), np.int64)
+            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), None, None))
+    return pa.Table.from_batches([_batch(["kind", "bucket", "stretch", "h", "n", "s"], [*_KEYS, *[pa.binary()] * 3], rows)])
 
 
 @textbytes.lean
-def _finish(table: pa.Table, total: int, types: int) -> pa.Table:
+def _finish(table: pa.Table, model: Model) -> pa.Table:
     """The rows of a stretch's documents."""
     kinds, buckets = table.column("kind").to_numpy(), table.column("bucket").to_numpy()
     cell = lambda name, i: table.column(name)[i].as_buffer()
     own = int(np.flatnonzero(kinds == DOCUMENT)[0])
     facts = np.frombuffer(cell("n", own), FACTS)
-    at = np.concatenate(([0], np.cumsum(facts["tokens"])))
-    raw = zlib.decompress(cell("h", own))
-    size = int(at[-1])
+    raw, size = zlib.decompress(cell("h", own)), int(facts["open"].sum())
     alone, both = (np.frombuffer(raw, np.uint8, size, k * size).copy() for k in (0, 1))
+    sums = np.frombuffer(raw, "<f4", size, 2 * size).copy()
+    start = 6 * size
     asked = {WORDS: np.flatnonzero(alone == ASKED), TWO: np.flatnonzero(both == ASKED)}
-    start, n = 2 * size, np.zeros(len(asked[WORDS]), np.int64)
+    n, after = np.zeros(len(asked[WORDS]), np.int64), np.zeros(len(asked[WORDS]), "<f4")
     for kind, level in ((WORDS, alone), (TWO, both)):
         where = np.frombuffer(raw, "<u4", len(asked[kind]), start)
         start += where.nbytes
@@ -396,42 +501,40 @@ def _finish(table: pa.Table, total: int, types: int) -> pa.Table:
         mine = np.flatnonzero(kinds == kind)
         mine = mine[np.argsort(buckets[mine])].tolist()
         if mine:
-            level[asked[kind][order]] = np.concatenate([np.frombuffer(cell("h", i), np.uint8) for i in mine])
+            got = lambda name, t: np.concatenate([np.frombuffer(cell(name, i), t) for i in mine])  # noqa: B023, E731
+            level[asked[kind][order]] = got("h", np.uint8)
             if kind == WORDS:
-                n[order] = np.concatenate([np.frombuffer(cell("n", i), "<u4") for i in mine])
-    text = np.repeat(np.arange(len(facts)), facts["tokens"])
+                n[order], after[order] = got("n", "<u4"), got("s", "<f4")
+    # the word before an open context was asked for, so it is open and just before
+    follows = np.zeros(size + 1, "<f4")
+    follows[asked[WORDS] + 1] = after
+    sums = np.where(np.isnan(sums), follows[:-1], sums).astype(np.float64)
+    text = np.repeat(np.arange(len(facts)), facts["open"])
     rare = text[asked[WORDS]]
+    count = lambda w, x: np.bincount(w, weights=x, minlength=len(facts))
     return pa.table(
         {
             "doc_id": pa.array(facts["doc"].copy(), mask=facts["null"] > 0),
             "held_out": pa.array(facts["out"] > 0),
             "n_tokens": pa.array(facts["tokens"].copy()),
-            "n_known": pa.array(facts["known"] + np.bincount(rare, weights=n > 0, minlength=len(facts)).astype(np.int64)),
-            "base_score": pa.array(facts["base"] + np.bincount(rare, weights=log_base(n, total, types), minlength=len(facts))),
-            "score": pa.array(np.bincount(text, weights=log_model(alone, both, at, total, types), minlength=len(facts))),
+            "n_known": pa.array(facts["known"] + count(rare, n > 0).astype(np.int64)),
+            "base_score": pa.array(facts["base"] + count(rare, model.log_base(n))),
+            "score": pa.array(facts["score"] + count(text, model.log(both, alone, sums))),
         }
     )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, two: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    buckets = max(12, common.shuffle_partitions(spark))
-    total, types = model.total, model.types
-    asked = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text").mapInArrow(lambda it: _ask(it, shared.value, buckets), ROUTED)
-    word = F.col("kind") == UNIGRAM
-    known = counts.select(
-        F.when(word, VOCABULARY).otherwise(FILTER).cast("int").alias("kind"),
-        "bucket",
-        F.lit(None).cast("long").alias("stretch"),
-        F.when(word, F.col("h")).otherwise(F.col("filter")).alias("h"),
-        F.when(word, F.col("n")).otherwise(F.lit(b"")).alias("n"),
-    )
-    answers = asked.unionByName(known).groupBy("bucket").applyInArrow(_answer, ROUTED)
-    rows = answers.groupBy("stretch").applyInArrow(lambda t: _finish(t, total, types), SCORED)
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    return score(docs, *train(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    asked = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text").mapInArrow(lambda it: _ask(it, shared.value), ROUTED)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    known = words.select(F.lit(VOCABULARY).alias("kind"), "bucket", *none("long", "stretch"), "h", "n", *none("binary", "u", "runs"), "filter")
+    known = known.unionByName(two.select(F.lit(PAIRS).alias("kind"), "bucket", *none("long", "stretch"), "h", *none("binary", "n"), "u", "runs", "filter"))
+    answers = asked.unionByName(known).groupBy("bucket").applyInArrow(lambda t: _answer(t, shared.value), ANSWERED)
+    rows = answers.groupBy("stretch").applyInArrow(lambda t: _finish(t, shared.value), SCORED)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    return score(docs, *train(docs, bits))
