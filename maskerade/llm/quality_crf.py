@@ -7,9 +7,11 @@ decoding finds the best marks of all lines together. A document is kept if conte
 ``MAX_REPEAT`` per cent of its words in three-word windows that the text has twice or more.
 
 The field is fitted by gradient ascent on its likelihood, over at most ``TRAIN_DOCS`` labelled documents (those whose
-doc_id has the least hashes) and ``TRAIN_LINES`` lines of each; a line's label is its document's. Without labelled
-documents of both kinds the field has the fixed weights of ``PRIOR``. Marking reads whole texts of all documents,
-a batch at a time, without a shuffle.
+doc_id has the least hashes) and a stretch of at most ``TRAIN_LINES`` lines of each, from a place drawn by hash. Labels
+are of documents, so lines get weak ones of their own: a field without steps is fitted to the documents' labels, and
+says of each line whether it looks like lines of good documents (``weak_labels``). Clean lines of bad documents and
+junk in good ones then teach the steps between marks. Without labelled documents of both kinds the field has the fixed
+weights of ``PRIOR``. Marking reads whole texts of all documents, a batch at a time, without a shuffle.
 
 Defined results: null and empty text has no words and fails the plain rules; lines without a word are not marked and
 count for nothing; repeated rows are marked each; other columns are ignored.
@@ -17,6 +19,7 @@ count for nothing; repeated rows are marked each; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,16 +184,20 @@ def viterbi(emit: np.ndarray, step: np.ndarray, text: np.ndarray) -> np.ndarray:
     return mark
 
 
-def fit(features: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> dict:
-    """Weights of the field from lines in order, their texts and their labels."""
+def fit(features: np.ndarray, text: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> dict:
+    """Weights of the field from lines in order, their texts and their labels: the greatest mean log likelihood of a line, less decay / 2 of their squares.
+
+    ``weight``, one for all lines of a text, is how much these count.
+    """
+    weight = np.ones(len(text)) if weight is None else weight
     first, n = _chains(text)
     emit_w, step_w = np.zeros(WIDTH), np.zeros((2, 2))
     one = np.zeros((len(features), WIDTH))
     np.put_along_axis(one, features.astype(np.int64), 1.0, axis=1)
     pairs = text[1:] == text[:-1]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (label[:-1][pairs], label[1:][pairs]), 1.0)
-    goal = one.T @ label
+    np.add.at(seen, (label[:-1][pairs], label[1:][pairs]), weight[1:][pairs])
+    goal = one.T @ (label * weight)
     active = np.searchsorted(-n, -np.arange(n[0]), "left")
     m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     for i in range(1, rounds + 1):
@@ -205,14 +212,21 @@ def fit(features: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int =
         total = np.logaddexp.reduce(fore + back, axis=1)
         p = np.exp(fore[:, 1] + back[:, 1] - total)
         q = np.flatnonzero(pairs)
-        both = np.exp(fore[q][:, :, None] + step_w + (emit[q + 1] + back[q + 1])[:, None, :] - total[q][:, None, None]).sum(axis=0)
-        g = np.concatenate((goal - one.T @ p, (seen - both).ravel())) / len(features) - decay * np.concatenate((emit_w, step_w.ravel()))
+        both = np.exp(fore[q][:, :, None] + step_w + (emit[q + 1] + back[q + 1])[:, None, :] - total[q][:, None, None])
+        both = (both * weight[q][:, None, None]).sum(axis=0)
+        g = np.concatenate((goal - one.T @ (p * weight), (seen - both).ravel())) / len(features) - decay * np.concatenate((emit_w, step_w.ravel()))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
         emit_w, step_w = emit_w + move[:WIDTH], step_w + move[WIDTH:].reshape(2, 2)
     return {"emit": emit_w, "step": step_w}
 
 
+def weak_labels(features: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A label for each line from labels that hold for whole documents: what lines like it mostly have, each kind of document counting half."""
+    even = 0.5 / np.bincount(label, minlength=2).clip(1) * len(label)
+    return (fit(features, np.arange(len(features)), label, even[label])["emit"][features].sum(axis=1) > 0).astype(np.int64)
+
+
 @textbytes.lean
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -220,7 +234,11 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality = batch.column("quality").to_pylist()
         for i, j in textbytes.slabs(offsets):
             seen = Seen(buf, offsets[i : j + 1])
-            rows = [(int(quality[i + k]), seen.features[seen.line_text == k][:TRAIN_LINES].tobytes()) for k in range(j - i)]
+            rows = []
+            for k in range(j - i):
+                lines = seen.features[seen.line_text == k]
+                lo = zlib.crc32(lines.tobytes()) % max(1, len(lines) - TRAIN_LINES + 1)
+                rows.append((int(quality[i + k]), lines[lo : lo + TRAIN_LINES].tobytes()))
             yield pa.RecordBatch.from_pydict({"quality": pa.array([r[0] for r in rows], pa.int32()), "lines": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -237,7 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> dict:
     # rows come in any order: sort them, so that sums of floats and so weights agree between runs
     order = sorted(range(len(lines)), key=lambda i: (rows["quality"][i], lines[i].tobytes()))
     text = np.repeat(np.arange(len(lines)), n[order])
-    return fit(np.concatenate([lines[i] for i in order]), text, np.repeat(rows["quality"].to_numpy(np.int64)[order], n[order]))
+    features, label = np.concatenate([lines[i] for i in order]), np.repeat(rows["quality"].to_numpy(np.int64)[order], n[order])
+    return fit(features, text, weak_labels(features, label))
 
 
 def _judged(seen: Seen, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
