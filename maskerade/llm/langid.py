@@ -8,15 +8,18 @@ hits that the filling of its own bit plane would give by chance. The language wi
 An n-gram is three or four letters in a row, word borders being a blank; letters are lower-cased. A language has an
 n-gram if it is there at least ``FLOOR`` of all its n-grams and ``SHARE`` as often as in the language that has it
 most. Counts are over whole texts of all learnt documents: tasks count over distinct words and emit distinct n-grams.
-The table has ``2 ** BITS`` places whatever the input, so that is what is broadcast.
+The table is sized so that the language with the most n-grams fills at most ``FILL`` of its bit plane; as a language
+has at most 1 / ``FLOOR`` n-grams, what is broadcast is bounded however large the input, and grows by a word of 8 bytes
+a place for each ``PLANES`` languages.
 
 Defined results: null text and text without a letter is ``und`` with score 0; a text without a known n-gram is the
-most common language with score 0; with nothing to learn from all is ``und``; documents without lang or with one of
-``und`` are not learnt from; repeated rows count each; other columns are ignored.
+most common language with score 0; with nothing to learn from all is ``und``; documents without lang are not learnt
+from, any other value of it is a language; repeated rows count each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from functools import cache
 
@@ -27,12 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common, textbytes
 
-BITS, PROBES = 20, 3
+PROBES, FILL = 3, 0.1
 FLOOR, SHARE = 1e-7, 0.2
 #: Languages of a mask.
 PLANES = 63
-#: A language is a label that people agreed on; more of them than this is a mistake in the column.
-MOST_LANGUAGES = 2000
 
 
 @cache
@@ -77,10 +78,15 @@ def _grams(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
-    """The places of n-grams in the table."""
+def table_bits(most: int) -> int:
+    """The binary logarithm of the places that ``most`` n-grams fill to ``FILL`` at most."""
+    return max(10, math.ceil(math.log2(max(1, most) * PROBES / -math.log1p(-FILL))))
+
+
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of n-grams in a table of 2 ** bits."""
     step = textbytes.mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) >> np.uint64(64 - BITS)).astype(np.int64) for i in range(PROBES)]
+    return [((h + np.uint64(i) * step) >> np.uint64(64 - bits)).astype(np.int64) for i in range(PROBES)]
 
 
 @textbytes.lean
@@ -132,18 +138,19 @@ def _count(batches, languages: list[str]):
 
 
 @textbytes.lean
-def _slots(batches):
+def _slots(batches, bits: int):
     for batch in batches:
         h = batch.column("h").to_numpy().view(np.uint64)
-        for place in _places(h):
+        for place in _places(h, bits):
             yield pa.RecordBatch.from_pydict({"place": pa.array(place), "word": batch.column("word"), "mask": batch.column("mask")})
 
 
 class Model:
     def __init__(self, languages: list[str], table: np.ndarray, common_language: int):
         self.languages, self.table, self.common = languages, table, common_language
-        planes = np.array([((table[i // PLANES] >> np.uint64(i % PLANES)) & np.uint64(1)).mean() for i in range(len(languages))])
-        self.chance = np.minimum(planes**PROBES, 0.999)
+        self.bits = table.shape[1].bit_length() - 1
+        self.planes = np.array([((table[i // PLANES] >> np.uint64(i % PLANES)) & np.uint64(1)).mean() for i in range(len(languages))])
+        self.chance = self.planes**PROBES
 
     def shares(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of texts: whether they have a letter; of each, by language, the corrected share of n-grams in it."""
@@ -156,7 +163,7 @@ class Model:
                 continue
             edges = np.searchsorted(a, starts - 0)
             total += np.diff(edges)
-            places = _places(h)
+            places = _places(h, self.bits)
             for word in range(len(self.table)):
                 mask = self.table[word][places[0]]
                 for place in places[1:]:
@@ -174,12 +181,10 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> Model | None:
     """Learns from the text and lang of all documents that aren't held out."""
-    learnt = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & ~held_out() & F.col("text").isNotNull()).select("lang", "text")
-    rows = learnt.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    learnt = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).select("lang", "text")
+    rows = learnt.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not rows:
         return None
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in rows)
     counts = learnt.mapInArrow(lambda it: _count(it, languages), "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     counts = common.pin(counts)
@@ -187,11 +192,13 @@ def train(docs: DataFrame) -> Model | None:
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     most = rates.groupBy("h").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("all"))
     held = most.select("h", "most", F.explode("all").alias("x")).filter((F.col("x.rate") >= FLOOR) & (F.col("x.rate") >= SHARE * F.col("most")))
+    held = common.pin(held.select("h", "x"))
+    bits = table_bits(held.groupBy("x.lang").count().agg(F.max("count")).first()[0] or 0)
     bit = F.expr(f"shiftleft(1L, x.lang % {PLANES})")
     masks = held.groupBy("h", F.expr(f"cast(x.lang div {PLANES} as int)").alias("word")).agg(F.bit_or(bit).alias("mask"))
-    slots = masks.mapInArrow(_slots, "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
-    slots = slots.toPandas()  # at most 2 ** BITS places a word of languages
-    table = np.zeros((-(-len(languages) // PLANES), 1 << BITS), np.uint64)
+    slots = masks.mapInArrow(lambda it: _slots(it, bits), "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
+    slots = slots.toPandas()  # at most 2 ** bits places a word of languages
+    table = np.zeros((-(-len(languages) // PLANES), 1 << bits), np.uint64)
     table[slots["word"].to_numpy(), slots["place"].to_numpy()] = slots["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Model(languages, table, languages.index(rows[0]["lang"]))
 
