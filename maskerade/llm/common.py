@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,12 @@ def small(df: DataFrame, rows: int = 20_000, cells: Column | None = None) -> Dat
     return F.broadcast(df) if n <= rows and (m or 0) <= 10 * rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is pinned: it does when the driver has collected its garbage, however long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

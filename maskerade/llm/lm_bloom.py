@@ -4,7 +4,7 @@ Counts of words and word pairs are quantised to levels, level j standing for cou
 filter holds (n-gram, 1), ..., (n-gram, its level); a count is read back by asking for level 1, 2, ... until one is
 missing, and stands for the mean of its level. It holds every word and word pair that occurs, however large the corpus,
 in parts by n-gram hash. Pairs of at least the share ``HELD`` of all tokens and words of at least ``FREQUENT`` are a
-filter of their own that is broadcast (at most 1 / share of them); all others are asked of their part by shuffle. These
+filter of their own that is broadcast (at most 2 / share of them, as shares are rounded to levels); all others are asked of their part by shuffle. These
 shares say what travels how, not what is known. Behind each filter stand short hashes of what it holds, so that an
 n-gram that it lacks isn't taken for one that it has.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import common, textbytes
 
-HELD, FREQUENT, BASE, PRIOR = 5e-7, 5e-7, 2, 4.0
+HELD, FREQUENT, BASE, PRIOR = 1e-7, 2.5e-7, 2, 4.0
 #: Filter bits for each (n-gram, level), and bits set for one.
 BITS, PROBES = 16, 4
 #: Tokens that a task counts before it emits, and that it asks for at once.
@@ -286,8 +286,17 @@ class Model:
         #: Sum of quantised counts and of one for each word and for the class of unknown ones.
         self.mass = float(quantised(self.alone.levels(self.words)).sum()) + rest + types + 1
         self.pairs = Held(Filter(np.zeros(0, np.uint64), np.zeros(0)), np.zeros(0, np.uint64))
-        self.sums = np.zeros(len(self.words))
-        self.begin = 0.0
+        self.after(np.zeros(len(self.words)), 0.0)
+
+    def after(self, sums: np.ndarray, begin: float) -> None:
+        """Takes the sums of the pairs after each word and at the beginning, as places among their few values."""
+        self.sums, self.begin = sums, begin
+        self.values, place = np.unique(np.append(sums, begin), return_inverse=True)
+        self.place = place.astype("<u2" if len(self.values) < 1 << 16 else "<u4")
+
+    def placed_sums(self, place: np.ndarray) -> np.ndarray:
+        """The sums at places; not a number for the place after the last."""
+        return np.append(self.values, np.nan)[place]
 
     def log(self, both: np.ndarray, alone: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """log10 P of tokens from the levels of pair and word and the sum of the context."""
@@ -318,9 +327,10 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
     size = learnt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, common.shuffle_partitions(spark), -(-size // PART))
     words = common.pin(learnt.mapInArrow(lambda it: _count_words(it, buckets), COUNTED).groupBy("bucket").applyInArrow(lambda t: _merge_words(t, bits), WORDS_OF))
+    common.release(spark)
     total, types = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("types")).first())
     # powers of the base, so that levels are the same wherever they are read
-    power = {k: max(0, math.ceil(math.log(max(1.0, share * total), BASE) - 1e-9)) for k, share in (("words", FREQUENT), ("pairs", HELD))}
+    power = {k: math.floor(math.log(max(1.0, share * total), BASE) + 1e-9) for k, share in (("words", FREQUENT), ("pairs", HELD))}
     least = BASE ** power["words"]
 
     @textbytes.lean
@@ -334,11 +344,12 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
                 rest = float(quantised(Filter.load(row["filter"]).levels(h[~some])).sum())
                 yield _batch(["h", "n", "rest"], [pa.binary(), pa.binary(), pa.float64()], [(h[some].tobytes(), n[some].tobytes(), rest)])
 
-    rows = words.select("h", "n", "filter").mapInArrow(frequent, "h binary, n binary, rest double").collect()  # at most 1 / share words
+    rows = words.select("h", "n", "filter").mapInArrow(frequent, "h binary, n binary, rest double").collect()  # at most 2 / share words
     found = [np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in (("h", "<u8"), ("n", "<i8"))]
     hot = np.sort(np.append(found[0][found[1] >= HOT * total / buckets], BEGIN))
     model = Model(total, types, tuple(found), least, math.fsum(r["rest"] for r in rows), hot, buckets, bits)
     two = common.pin(learnt.mapInArrow(lambda it: _count_pairs(it, hot, buckets), PAIRS_COUNTED).groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, bits), PAIRS_OF))
+    common.release(spark)
     floor = power["pairs"] + 1
 
     @textbytes.lean
@@ -368,8 +379,9 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
 
     known = two.mapInArrow(sums, "u long, s double").groupBy("u").agg(F.sum("s").alias("s")).toPandas()  # a row for each frequent word
     at, there = _among(model.words, known["u"].to_numpy(np.int64).view(np.uint64))
-    model.sums[at[there]] = known["s"].to_numpy(float)[there]
-    model.begin = float(known["s"].to_numpy(float)[~there].sum())
+    sums, s = np.zeros(len(model.words)), known["s"].to_numpy(float)
+    sums[at[there]] = s[there]
+    model.after(sums, float(s[~there].sum()))
     return model, words, two
 
 
@@ -417,17 +429,17 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
             place, frequent = _among(model.words, one)
             alone = np.where(frequent, model.alone.levels(one), ASKED)[back].astype(np.uint8)
             n = np.where(frequent, model.counts[place] if len(model.words) else 0, 0)[back]
-            own = np.where(frequent, model.sums[place] if len(model.words) else 0.0, np.nan)[back]
-            sums = np.empty(len(h))
+            own = np.where(frequent, model.place[place], len(model.values))[back]
+            sums = np.empty(len(h), model.place.dtype)
             sums[1:] = own[:-1]
-            sums[at[:-1]] = model.begin
+            sums[at[:-1]] = model.place[-1]
             before = contexts(h, at)
             two = pairs(before, h)
             both = model.pairs.levels(low(two))
             both = np.where(both > 0, both, ASKED).astype(np.uint8)
             text = np.repeat(np.arange(j - i), np.diff(at))
             known = alone != ASKED
-            open_ = ~known | (both == ASKED) | np.isnan(sums)
+            open_ = ~known | (both == ASKED) | (sums == len(model.values))
             done = ~open_
             facts = np.zeros(j - i, FACTS)
             facts["doc"] = [x if x is not None else 0 for x in ids[i:j]]
@@ -437,9 +449,9 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
             facts["known"] = np.bincount(text, weights=known, minlength=j - i)
             facts["open"] = np.bincount(text, weights=open_, minlength=j - i)
             facts["base"] = np.bincount(text, weights=np.where(known, model.log_base(n), 0.0), minlength=j - i)
-            facts["score"] = np.bincount(text[done], weights=model.log(both[done], alone[done], sums[done]), minlength=j - i)
+            facts["score"] = np.bincount(text[done], weights=model.log(both[done], alone[done], model.values[sums[done]]), minlength=j - i)
             asked = open_ & (both == ASKED)
-            for k, v in (("alone", alone[open_]), ("both", both[open_]), ("sums", sums[open_].astype("<f4")), ("words", h[~known]), ("two", two[asked]), ("before", before[asked]), ("facts", facts)):
+            for k, v in (("alone", alone[open_]), ("both", both[open_]), ("sums", sums[open_]), ("words", h[~known]), ("two", two[asked]), ("before", before[asked]), ("facts", facts)):
                 held.setdefault(k, []).append(v)
             size += len(h)
             if size >= ASKS:
@@ -490,8 +502,8 @@ def _finish(table: pa.Table, model: Model) -> pa.Table:
     facts = np.frombuffer(cell("n", own), FACTS)
     raw, size = zlib.decompress(cell("h", own)), int(facts["open"].sum())
     alone, both = (np.frombuffer(raw, np.uint8, size, k * size).copy() for k in (0, 1))
-    sums = np.frombuffer(raw, "<f4", size, 2 * size).copy()
-    start = 6 * size
+    sums = model.placed_sums(np.frombuffer(raw, model.place.dtype, size, 2 * size))
+    start = 2 * size + size * model.place.itemsize
     asked = {WORDS: np.flatnonzero(alone == ASKED), TWO: np.flatnonzero(both == ASKED)}
     n, after = np.zeros(len(asked[WORDS]), np.int64), np.zeros(len(asked[WORDS]), "<f4")
     for kind, level in ((WORDS, alone), (TWO, both)):
@@ -508,7 +520,7 @@ def _finish(table: pa.Table, model: Model) -> pa.Table:
     # the word before an open context was asked for, so it is open and just before
     follows = np.zeros(size + 1, "<f4")
     follows[asked[WORDS] + 1] = after
-    sums = np.where(np.isnan(sums), follows[:-1], sums).astype(np.float64)
+    sums = np.where(np.isnan(sums), follows[:-1], sums)
     text = np.repeat(np.arange(len(facts)), facts["open"])
     rare = text[asked[WORDS]]
     count = lambda w, x: np.bincount(w, weights=x, minlength=len(facts))
