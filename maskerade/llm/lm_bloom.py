@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from . import common, textbytes
 
 HELD, FREQUENT, BASE, PRIOR = 1e-7, 2.5e-7, 2, 4.0
+#: N-grams of fewer than BASE ** LEAST occurrences are never broadcast.
+LEAST = 3
 #: Filter bits for each (n-gram, level), and bits set for one.
 BITS, PROBES = 16, 4
 #: Tokens that a task counts before it emits, and that it asks for at once.
@@ -330,7 +332,7 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
     common.release(spark)
     total, types = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("types")).first())
     # powers of the base, so that levels are the same wherever they are read
-    power = {k: math.floor(math.log(max(1.0, share * total), BASE) + 1e-9) for k, share in (("words", FREQUENT), ("pairs", HELD))}
+    power = {k: max(LEAST, math.floor(math.log(max(1.0, share * total), BASE) + 1e-9)) for k, share in (("words", FREQUENT), ("pairs", HELD))}
     least = BASE ** power["words"]
 
     @textbytes.lean
@@ -362,10 +364,9 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
                 some = level >= floor
                 yield _batch(["h", "level"], [pa.binary(), pa.binary()], [(h[some].tobytes(), level[some].astype(np.uint8).tobytes())])
 
-    if power["pairs"]:  # else the parts alone hold what little there is
-        rows = two.select("h", "filter").mapInArrow(often, "h binary, level binary").collect()  # at most 2 / share pairs
-        h, level = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in (("h", "<u8"), ("level", np.uint8)))
-        model.pairs = Held(Filter(h, BASE ** (level - 1.0), BASE ** power["pairs"], bits), h)
+    rows = two.select("h", "filter").mapInArrow(often, "h binary, level binary").collect()  # at most 2 / share pairs
+    h, level = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in (("h", "<u8"), ("level", np.uint8)))
+    model.pairs = Held(Filter(h, BASE ** (level - 1.0), BASE ** power["pairs"], bits), h)
     shared = spark.sparkContext.broadcast(model)
 
     @textbytes.lean
@@ -378,6 +379,7 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame, DataFram
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u[some].view(np.int64)), "s": pa.array(s[some])})
 
     known = two.mapInArrow(sums, "u long, s double").groupBy("u").agg(F.sum("s").alias("s")).toPandas()  # a row for each frequent word
+    shared.destroy()
     at, there = _among(model.words, known["u"].to_numpy(np.int64).view(np.uint64))
     sums, s = np.zeros(len(model.words)), known["s"].to_numpy(float)
     sums[at[there]] = s[there]
