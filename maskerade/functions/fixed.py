@@ -171,3 +171,53 @@ STATUS_WORDS = frozenset(
     " réessayer succes succès echec échec demarre démarré arrete arrêté termine terminé annulation refuse refusé valide validé expire expiré".split()
 )
 PROPAGATED_LABELS, PROPAGATED_CONF = ("person", "organization", "username", "address"), 0.75
+
+# Request bodies. Names that the providers' protocols give a meaning to.
+TEXT_BLOCKS = ("text", "input_text", "output_text")
+BINARY_BLOCKS = ("image", "input_image", "image_url", "document", "redacted_thinking", "thinking")
+FILE_BLOCKS = ("input_file", "file")
+FILE_NAME_KEYS = ("filename", "file_name", "name")
+#: Structure of a request or of a JSON schema: never text of a user where the protocol puts them.
+STRUCTURAL_KEYS = frozenset((
+    "type", "role", "id", "object", "status", "model", "name", "image_url", "file_url", "mime_type",
+    "mimetype", "encoding", "format", "detail", "tool_choice", "service_tier", "output_index", "content_index",
+    "index", "file_data", "version", "server_label", "server_url", "vector_store_ids", "allowed_tools",
+    "connector_id", "authorization", "container", "container_id", "partial_images", "background", "verbosity",
+    "properties", "required", "pattern", "additionalProperties", "$ref", "$defs", "parameters", "strict",
+    "syntax", "definition",
+))
+#: Keys that route a request wherever they stand: a changed value breaks it.
+ROUTING_KEYS = frozenset(("file_id", "container_id", "call_id", "item_id", "response_id", "previous_response_id", "connector_id", "image_url", "file_url", "server_url"))
+OPAQUE_KEYS = frozenset(("encrypted_content",))
+SCHEMA_KEYS = frozenset(("parameters", "schema", "input_schema"))
+OUTPUT_KEYS = frozenset(("output", "outputs", "variables"))
+LITERAL_KEYS = frozenset(("enum", "const"))
+#: Files that are text, by MIME type, end of the name, or whole name; and ends of names that are not.
+TEXT_MIMES = frozenset((
+    "application/json", "application/x-ndjson", "application/xml", "application/x-yaml", "application/yaml",
+    "application/toml", "application/x-sh", "application/javascript", "application/x-javascript",
+    "application/typescript", "application/x-python", "application/x-httpd-php", "application/sql",
+    "application/csv", "application/x-csv", "image/svg+xml",
+))
+TEXT_ENDS = (
+    ".txt", ".md", ".markdown", ".csv", ".tsv", ".json", ".jsonl", ".ndjson", ".xml", ".yaml", ".yml", ".toml",
+    ".ini", ".cfg", ".conf", ".log", ".html", ".htm", ".css", ".svg", ".rst", ".tex",
+    ".py", ".pyi", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".go", ".rs", ".rb", ".php", ".java", ".kt",
+    ".kts", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".swift", ".scala", ".sh", ".bash", ".zsh", ".fish",
+    ".ps1", ".sql", ".r", ".lua", ".pl", ".dart", ".vue", ".svelte", ".tf", ".dockerfile", ".env", ".gradle",
+    ".properties", ".gitignore", ".editorconfig",
+)
+TEXT_NAMES = frozenset((
+    "dockerfile", "containerfile", "makefile", "gnumakefile", "cmakelists.txt", "rakefile", "gemfile", "guardfile",
+    "procfile", "vagrantfile", "brewfile", "jenkinsfile", "justfile", "caddyfile", "license", "licence", "notice",
+    "copying", "authors", "contributors", "readme", "changelog", "changes", "history", "manifest", "todo",
+    "codeowners", ".gitignore", ".gitattributes", ".dockerignore", ".npmignore", ".editorconfig", ".env",
+    ".bashrc", ".zshrc", ".profile", ".babelrc", ".eslintrc", ".prettierrc",
+))
+BINARY_ENDS = (
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tiff", ".tif", ".ico", ".heic", ".heif", ".avif",
+    ".pdf", ".zip", ".gz", ".tgz", ".bz2", ".xz", ".7z", ".rar", ".tar", ".jar", ".war", ".class", ".exe",
+    ".dll", ".so", ".dylib", ".o", ".a", ".bin", ".dat", ".wasm", ".mp3", ".mp4", ".wav", ".flac", ".ogg",
+    ".mov", ".avi", ".mkv", ".webm", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods",
+    ".ttf", ".otf", ".woff", ".woff2", ".eot", ".db", ".sqlite", ".sqlite3", ".pkl", ".pickle", ".npy", ".npz",
+)

@@ -6,6 +6,7 @@ import sys
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +58,25 @@ def value_key(value: Column, label: Column) -> Column:
     """What makes two values one in a map: trimmed, inner white space collapsed, lower case unless the label is case-sensitive."""
     plain = F.regexp_replace(F.trim(value), r"\s+", " ")
     return F.when(label.isin(*fixed.CASE_SENSITIVE_LABELS), plain).otherwise(F.lower(plain))
+
+
+def _composed(text: pd.Series) -> pd.DataFrame:
+    """NFC of each text, and where in the text each of its characters begins (and the last one ends)."""
+    rows = []
+    for t in text:
+        t = t or ""
+        # a character and the combining ones after it (Hangul vowels and finals too) normalise on their own
+        cut = [i for i, c in enumerate(t) if not i or not (unicodedata.combining(c) or 0x1160 <= ord(c) <= 0x11FF)]
+        parts = [unicodedata.normalize("NFC", t[i:j]) for i, j in zip(cut, [*cut[1:], len(t)], strict=False)]
+        rows.append(("".join(parts), [i for i, p in zip(cut, parts, strict=True) for _ in p] + [len(t)]))
+    return pd.DataFrame(rows, columns=["text", "places"])
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition with the way back: struct (text, places), of an empty text where nothing is left to compose."""
+    return F.pandas_udf(_composed, "text string, places array<int>")(F.when(text.rlike(r"[\p{M}\u1160-\u11FF]"), text).otherwise(""))
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; Python sees only texts that have something to compose."""
+    return F.when(text.rlike(r"[\p{M}\u1160-\u11FF]"), composed(text)["text"]).otherwise(text)

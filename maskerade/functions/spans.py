@@ -55,6 +55,27 @@ class Rule:
     rename: Callable[[Match], Column] | None = None
 
 
+#: Numbers that one fold sums up: an array is copied for each.
+_FOLD = 128
+
+
+def running(numbers: Column) -> Column:
+    """The sum of the numbers before each, in blocks, so that a long array isn't copied once for each of its entries."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _FOLD).cast("int"))
+    block = lambda b: F.slice(numbers, b * _FOLD + 1, F.lit(_FOLD))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, n: acc + n)
+
+    def within(totals: Column) -> Column:
+        def one(b: Column) -> Column:
+            start = F.struct(total(F.slice(totals, F.lit(1), b)).alias("at"), F.array().cast("array<int>").alias("out"))
+            step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+            return F.aggregate(block(b), start, step, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(blocks, one))
+
+    return F.when(F.size(numbers) > 0, let(F.transform(blocks, lambda b: total(block(b))), within)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """Array of (start, end, value) of all matches; the pattern may differ by row, null matching nothing."""
     pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
@@ -65,13 +86,16 @@ def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     )
 
     def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            end = acc["at"] + F.length(x["g"][i]) + F.length(x["m"][i])
-            span = F.struct((end - F.length(x["v"][i])).cast("int").alias("start"), end.cast("int").alias("end"), x["v"][i].alias("value"))
-            return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        lengths = F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), x["m"], lambda g, m: F.length(g) + F.length(m))
+
+        def span(at: Column) -> Column:
+            def one(i: Column) -> Column:
+                end = F.get(at["before"], i) + F.get(at["lengths"], i)
+                return F.struct((end - F.length(x["v"][i])).cast("int").alias("start"), end.cast("int").alias("end"), x["v"][i].alias("value"))
+
+            return F.transform(F.sequence(F.lit(0), F.size(x["m"]) - 1), one)
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step, lambda acc: acc["out"])
+        return let(let(lengths, lambda n: F.struct(n.alias("lengths"), running(n).alias("before"))), span)
 
     return F.when(F.rlike(text, pattern), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 

@@ -13,19 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .walk import STRUCTURAL
+from .secrets import label_of
+from .walk import STRUCTURAL, Pairs
 
 _PLACEHOLDER = re.compile(fixed.PLACEHOLDER)
-_SECRET, _CARD, _GOVERNMENT, _BIRTH = (re.compile(p) for p in (fixed.SECRET_KEY, fixed.CARD_KEY, fixed.GOVERNMENT_KEY, fixed.BIRTH_KEY))
 _TEXT_FILE = re.compile(r"data:(?:text/[\w.+-]+|application/(?:json|xml|csv|x-yaml))(?:;[\w=.-]+)*;base64,")
 #: Blocks that are signed or opaque and pass as they are.
 OPAQUE = ("thinking", "redacted_thinking")
 
 
-class Pairs(list):
-    """An object as its pairs, in order and with duplicates."""
-
-
 def parse(body: str):
     return json.loads(body, object_pairs_hook=Pairs)
 
@@ -38,16 +34,6 @@ def dump(node) -> str:
     return json.dumps(node, ensure_ascii=False)
 
 
-def sensitive(key: str) -> str | None:
-    """The floor label of a key's values."""
-    low = key.lower()
-    if _SECRET.search(key):
-        return "secret"
-    if _CARD.search(key):
-        return "card_cvv" if re.search("cvv|cvc|sec", low) else "card_expiry" if "exp" in low else "payment_card"
-    return "government_id" if _GOVERNMENT.search(key) else "date_of_birth" if _BIRTH.search(key) else None
-
-
 def rewritten(node, text: Callable[[str], str], forced: Callable[[str, str], str] | None = None, keys: bool = False):
     """The node with every text of a user rewritten. ``forced`` gives what stands for a value under a sensitive key;
     ``keys`` rewrites keys too, a second key of the same name becoming name.dup1."""
@@ -61,7 +47,7 @@ def rewritten(node, text: Callable[[str], str], forced: Callable[[str, str], str
                 used[name] += 1
                 name = f"{name}.dup{used[name]}"
             used.setdefault(name, 0)
-            label = sensitive(k) if forced else None
+            label = label_of(k) if forced else None
             if label and isinstance(v, (str, int, float)) and not isinstance(v, bool) and str(v).strip() and not _PLACEHOLDER.search(str(v)):
                 out.append((name, forced(str(v), label)))
             elif k in STRUCTURAL or k.endswith("_id"):
@@ -118,7 +104,7 @@ def _redacted(body: pd.Series, known: pd.Series) -> pd.Series:
 
         try:
             return dump(rewritten(parse(text), _replaced(values), forced))
-        except ValueError:
+        except (ValueError, RecursionError):
             return text
 
     return pd.Series([one(t, p) for t, p in zip(body, known, strict=True)])
@@ -128,7 +114,7 @@ def _restored(body: pd.Series, values: pd.Series) -> pd.Series:
     def one(text, pairs):
         try:
             return None if text is None else dump(rewritten(parse(text), _replaced(dict(pairs or {})), keys=True))
-        except ValueError:
+        except (ValueError, RecursionError):
             return text
 
     return pd.Series([one(t, p) for t, p in zip(body, values, strict=True)])

@@ -2,60 +2,67 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let
-
 SIZE, OVERLAP = 600, 80
 _CUTS = "array<struct<start:int,end:int>>"
 
 
-def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Array of (start, end): windows of ``size`` characters that overlap, each ending at the last blank of its overlap
-    if there is one. Which window comes next depends on where one ends: a fold."""
-    n = F.length(text)
+def window_cuts(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Windows of ``size`` characters that overlap, each ending at the last blank of its overlap if there is one."""
+    out, at = [], 0
+    while True:
+        end = min(at + size, len(text))
+        if end < len(text):
+            blank = text.rfind(" ", max(at + size - overlap, at + 1), end)
+            end = blank if blank >= 0 else end
+        out.append((at, end))
+        if end >= len(text):
+            return out
+        at = max(end - overlap, at + 1)
 
-    def end_of(i: Column) -> Column:
-        hard = F.least(i + size, n)
-        low = F.greatest(i + (size - overlap), i + 1)
-        blank = low + F.length(F.substring_index(F.substring(text, low + 1, hard - low), " ", -1)).cast("int")
-        tail = F.substring(text, low + 1, hard - low)
-        return F.when((hard < n) & F.contains(tail, F.lit(" ")), hard - (blank - low) - 1).otherwise(hard)
 
-    def step(acc: Column, _: Column) -> Column:
-        def cut(end: Column) -> Column:
-            span = F.struct(acc["at"].alias("start"), end.cast("int").alias("end"))
-            after = F.when(end >= n, F.lit(-1)).otherwise(F.greatest(end - overlap, acc["at"] + 1))
-            return F.struct(F.concat(acc["out"], F.array(span)).alias("out"), after.cast("int").alias("at"))
+def line_cuts(text: str, size: int = SIZE) -> list[tuple[int, int]]:
+    """Whole lines packed up to ``size``; a longer one stands alone."""
+    out, start, end, alone = [], 0, 0, False
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        n = len(line)
+        if end > start and (alone or n > size or end - start + n > size):
+            out.append((start, end))
+            start = end
+        end, alone = end + n, n > size
+    return [*out, (start, end)] if end > start else out
 
-        return F.when(acc["at"] < 0, acc).otherwise(let(end_of(acc["at"]), cut))
 
-    most = F.sequence(F.lit(0), (n / (size - 2 * overlap)).cast("int") + 1)
-    return F.aggregate(most, F.struct(F.array().cast(_CUTS).alias("out"), F.lit(0).alias("at")), step, lambda acc: acc["out"])
+def _cutting(cut: Callable[[str], list[tuple[int, int]]]) -> Callable[[Column], Column]:
+    """Where one cut goes depends on the one before: texts are walked once, in Arrow batches."""
 
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in cut(t)])
 
-def packed_lines(text: Column, size: int = SIZE) -> Column:
-    """Array of (start, end): whole lines packed up to ``size``; a line over it stands alone, to be cut by ``windows``."""
-    lines = F.filter(F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)), lambda x: F.length(x) > 0)
+    return F.pandas_udf(run, _CUTS)
 
-    def step(acc: Column, line: Column) -> Column:
-        n = F.length(line)
-        full = (acc["end"] > acc["start"]) & ((acc["end"] - acc["start"] + n > size) | (n > size) | acc["long"])
-        out = F.when(full, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
-        start = F.when(full, acc["end"]).otherwise(acc["start"])
-        return F.struct(out.alias("out"), start.alias("start"), (acc["end"] + n).cast("int").alias("end"), (n > size).alias("long"))
 
-    begin = F.struct(F.array().cast(_CUTS).alias("out"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("long"))
-    last = lambda acc: F.when(acc["end"] > acc["start"], F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
-    return F.aggregate(lines, begin, step, last)
+def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Array of (start, end) of ``window_cuts``."""
+    return _cutting(lambda t: window_cuts(t, size, overlap))(text)
+
+
+def packed_lines(text: Column, size: int = SIZE) -> Column:
+    """Array of (start, end) of ``line_cuts``; a line that stands alone is to be cut by ``windows``."""
+    return _cutting(lambda t: line_cuts(t, size))(text)
 
 
 def chunked(docs: DataFrame, key: str, text: str = "text", cuts: Column | None = None) -> DataFrame:
     """A row for each chunk: key, chunk_no, start, chunk."""
-    cut = windows(F.col(text)) if cuts is None else cuts
-    parts = F.transform(cut, lambda c, i: F.struct(i.cast("int").alias("chunk_no"), c["start"].alias("start"), F.substring(F.col(text), c["start"] + 1, c["end"] - c["start"]).alias("chunk")))
-    return docs.select(key, F.inline_outer(parts)).filter("chunk_no is not null")
+    cut = docs.select(key, F.col(text).alias("_t"), (windows(F.col(text)) if cuts is None else cuts).alias("_cuts"))
+    rows = cut.select(key, "_t", F.posexplode_outer("_cuts").alias("chunk_no", "_c")).filter("_c is not null")
+    return rows.select(key, F.col("chunk_no").cast("int"), F.col("_c.start").alias("start"), F.expr("substring(_t, _c.start + 1, _c.end - _c.start)").alias("chunk"))
 
 
 def prose(text: Column) -> Column:

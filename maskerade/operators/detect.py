@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize, validators
-from ..functions.spans import SPAN, Match, Rule, scan
+from ..functions.spans import SPAN, Match, Rule, let, running, scan
 from . import names
 
 
@@ -178,8 +178,9 @@ def detect(docs: DataFrame, text: str = "text", profile: str = "wide", named: bo
         out = out.withColumn("_again", F.when(F.col("_clean").isNotNull(), spans(F.col("_clean"), profile)))
         # how many visible characters come before each removed one: a place moves by as many as lie at or before it
         gaps = F.transform(F.split(F.col("_t"), r"[\p{Cf}\p{Cc}]", -1), F.length)
-        out = out.withColumn("_gaps", F.when(F.col("_again").isNotNull() & (F.size("_again") > 0), F.aggregate(gaps, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n)))))
-        place = lambda p: (p + F.size(F.filter(F.slice("_gaps", 1, F.size("_gaps") - 1), lambda g: g <= p))).cast("int")
+        before = let(gaps, running)
+        out = out.withColumn("_gaps", F.when(F.col("_again").isNotNull() & (F.size("_again") > 0), F.slice(before, F.lit(2), F.size(gaps))).otherwise(F.array().cast("array<int>")))
+        place = lambda p: (p + F.size(F.filter("_gaps", lambda g: g <= p))).cast("int")
         back = lambda s: s.withField("start", place(s["start"])).withField("end", (place(s["end"] - 1) + 1).cast("int")).withField("rule", F.concat(s["rule"], F.lit("+cf")))
         out = out.withColumn("spans", F.when(F.col("_again").isNotNull(), F.concat("spans", F.transform("_again", back))).otherwise(F.col("spans")))
     return out.select(*keep, "spans")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,17 +17,23 @@ def overlaps(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
 
 
 def by_label(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
-    """Of each label: gold, detected and rightly labelled gold spans, predictions and right ones, recall, precision, F1."""
+    """Of each label: gold, detected and rightly labelled gold spans, predictions and right ones, recall, precision, F1.
+
+    Ratios are rounded to six places once, from counts.
+    """
     pairs = overlaps(gold, pred, key)
     g = pairs.groupBy(key, "g_seq", F.col("g_label").alias("label")).agg(F.bool_or(F.col("g_label") == F.col("p_label")).alias("same"))
     found = g.groupBy("label").agg(F.count("*").alias("detected"), F.count_if("same").alias("labelled"))
     p = pairs.groupBy(key, "p_seq", F.col("p_label").alias("label")).agg(F.bool_or(F.col("g_label") == F.col("p_label")).alias("same"))
     right = p.groupBy("label").agg(F.count_if("same").alias("right"))
     out = gold.groupBy("label").agg(F.count("*").alias("gold")).join(found, "label", "full").join(pred.groupBy("label").agg(F.count("*").alias("pred")), "label", "full").join(right, "label", "full").na.fill(0)
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), 6)
-    out = out.withColumn("recall", ratio("labelled", "gold")).withColumn("detect_recall", ratio("detected", "gold")).withColumn("precision", ratio("right", "pred"))
-    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return out.withColumn("f1", F.round(f1, 6))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    out = out.withColumn("recall", F.round(ratio("labelled", "gold"), 6)).withColumn("detect_recall", F.round(ratio("detected", "gold"), 6)).withColumn("precision", F.round(ratio("right", "pred"), 6))
+    return out.withColumn("f1", F.round(f1(ratio("right", "pred"), ratio("labelled", "gold")), 6))
+
+
+def f1(precision: Column, recall: Column) -> Column:
+    return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
 def confusion(gold: DataFrame, pred: DataFrame, key: str, top: int | None = None) -> DataFrame:
@@ -60,10 +66,29 @@ def parity(pairs: DataFrame) -> DataFrame:
 
 
 def macro_micro(scores: DataFrame) -> DataFrame:
-    """F1 over labels and over spans, from ``by_label``."""
-    micro_p, micro_r = F.try_divide(F.sum("right"), F.sum("pred")), F.try_divide(F.sum("labelled"), F.sum("gold"))
-    made = scores.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), micro_p.alias("p"), micro_r.alias("r"))
-    return made.select("macro_f1", F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 6).alias("micro_f1"))
+    """F1 over labels and over spans, from the counts of ``by_label``.
+
+    The mean over labels is of millionths as whole numbers, so that no order of summation decides a digit.
+    """
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    whole = F.round(f1(share("right", "pred"), share("labelled", "gold")) * 1_000_000).cast("long")
+    made = scores.agg(F.sum(whole).alias("sum"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("right", "pred", "labelled", "gold")))
+    macro = F.expr("cast((2 * sum + n) div (2 * n) as double) / 1000000")  # rounded half up
+    return made.select(macro.alias("macro_f1"), F.round(f1(share("right", "pred"), share("labelled", "gold")), 6).alias("micro_f1"))
+
+
+def category_f1(scores: DataFrame, category: Column) -> DataFrame:
+    """F1 of the labels of each category together."""
+    made = scores.groupBy(category.alias("category")).agg(*(F.sum(c).alias(c) for c in ("right", "pred", "labelled", "gold")))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    return made.select("category", "gold", "pred", F.round(f1(share("right", "pred"), share("labelled", "gold")), 6).alias("f1"))
+
+
+def clean_false_positives(docs: DataFrame, gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """Documents without a gold span (``neg_rows``), those of them with a prediction, and such predictions."""
+    clean = docs.select(key).join(gold.select(key).distinct(), key, "left_anti")
+    hits = clean.join(pred.groupBy(key).agg(F.count("*").alias("n")), key, "left")
+    return hits.agg(F.count("*").alias("neg_rows"), F.count("n").alias("clean_fp"), F.coalesce(F.sum("n"), F.lit(0)).alias("clean_spans"))
 
 
 def scorecard(replayed: DataFrame) -> DataFrame:

@@ -35,11 +35,11 @@ def grown(text: str, start: int, end: int) -> tuple[int, int]:
     a = start - len(_LEFT.search(text, 0, start)[0]) if text[start : start + 1].isalpha() else start
     b = end + len(_RIGHT.match(text, end)[0]) if text[end - 1 : end].isalpha() else end
     n = len(text[a:b].split())
-    while n < names.MOST_TOKENS and (m := re.compile(r" (\S+)").match(text, b)) and _absorbs(m[1]) and m.end() - a <= names.MOST_CHARS:
+    while n < names.MOST_WORDS and (m := re.compile(r" (\S+)").match(text, b)) and _absorbs(m[1]) and m.end() - a <= names.MOST_CHARS:
         b, n = m.end(), n + 1
-    while n < names.MOST_TOKENS and (m := re.compile(r"(?<!\s)(\S+) \Z").search(text, 0, a)) and _absorbs(m[1]) and b - m.start() <= names.MOST_CHARS:
+    while n < names.MOST_WORDS and (m := re.compile(r"(?<!\s)(\S+) \Z").search(text, 0, a)) and _absorbs(m[1]) and b - m.start() <= names.MOST_CHARS:
         a, n = m.start(), n + 1
-    ok = (a, b) != (start, end) and names.shaped(text[a:b], any(c.isupper() for c in text[start:end]))
+    ok = (a, b) != (start, end) and (names.proper if any(c.isupper() for c in text[start:end]) else names.loose)(text[a:b])
     return (a, b) if ok else (start, end)
 
 

@@ -123,6 +123,23 @@ def stitch_addresses(spans: DataFrame, text: str, *keys: str, gap: int = 12) ->
     return made.select(*keys, "start", "end", "label", "conf")
 
 
+def stitched(text: Column, spans: Column, gap: int = 12) -> Column:
+    """``stitch_addresses`` for the array of merged spans in order; a run keeps the other fields of the address it begins with."""
+    both = ("address", "postal_code")
+
+    def step(acc: Column, s: Column) -> Column:
+        def with_last(last: Column) -> Column:
+            between = F.substring(text, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
+            joins = (last["label"] == "address") & s["label"].isin(*both) & (F.length(between) <= gap) & between.rlike(r"^[\s,\-()A-Za-z]*\z")
+            grown = last.withField("end", F.greatest(last["end"], s["end"])).withField("conf", F.least(last["conf"], s["conf"])).withField("members", last["members"] + s["members"])
+            return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
+
+        return F.when(F.size(acc) == 0, F.array(s)).otherwise(let(F.element_at(acc, -1), with_last))
+
+    # most documents have no address, and none is looked at twice
+    return F.when(F.exists(spans, lambda s: s["label"] == "address"), F.aggregate(spans, F.array().cast(MERGED), step)).otherwise(spans)
+
+
 def clip_inactive(spans: DataFrame, *keys: str) -> DataFrame:
     """What is left of inactive spans between the active ones: interval difference, as gaps of a sweep over edges."""
     active = spans.filter("active")

@@ -6,6 +6,8 @@ two kinds of characters is a secret, unless it is a UUID, a commit hash, digits
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,22 @@ def spans(text: Column) -> Column:
     return F.concat(*(scan(text, r) for r in RULES)).cast(f"array<{SPAN}>")
 
 
+#: Keys whose values are redacted whatever they look like: a pattern, one for the lower-cased key besides, the label. The first counts.
+KEYS = (
+    (fixed.SECRET_KEY, "", "secret"),
+    (fixed.CARD_KEY, "cvv|cvc|sec", "card_cvv"),
+    (fixed.CARD_KEY, "exp", "card_expiry"),
+    (fixed.CARD_KEY, "", "payment_card"),
+    (fixed.GOVERNMENT_KEY, "", "government_id"),
+    (fixed.BIRTH_KEY, "", "date_of_birth"),
+)
+
+
 def key_label(key: Column) -> Column:
     """The floor label of values under a JSON key of that name, or null."""
-    low = F.lower(key)
-    card = F.when(low.rlike("cvv|cvc|sec"), "card_cvv").when(F.contains(low, F.lit("exp")), "card_expiry").otherwise("payment_card")
-    return F.when(key.rlike(fixed.SECRET_KEY), "secret").when(key.rlike(fixed.CARD_KEY), card).when(key.rlike(fixed.GOVERNMENT_KEY), "government_id").when(key.rlike(fixed.BIRTH_KEY), "date_of_birth")
+    return F.coalesce(*(F.when(key.rlike(pattern) & F.lower(key).rlike(besides), label) for pattern, besides, label in KEYS))
+
+
+def label_of(key: str) -> str | None:
+    """``key_label`` of one key."""
+    return next((label for pattern, besides, label in KEYS if re.search(pattern, key) and re.search(besides, key.lower())), None)

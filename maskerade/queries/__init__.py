@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, preparation, sessions, spans, templates, whole
+from . import documents, preparation, requests, sessions, spans, templates, whole
 
-QUERIES = templates.QUERIES | documents.QUERIES | spans.QUERIES | sessions.QUERIES | preparation.QUERIES | whole.QUERIES
-ORACLE_SQL = templates.ORACLE_SQL | documents.ORACLE_SQL | spans.ORACLE_SQL | sessions.ORACLE_SQL | preparation.ORACLE_SQL | whole.ORACLE_SQL
+QUERIES = templates.QUERIES | documents.QUERIES | spans.QUERIES | sessions.QUERIES | preparation.QUERIES | whole.QUERIES | requests.QUERIES
+ORACLE_SQL = templates.ORACLE_SQL | documents.ORACLE_SQL | spans.ORACLE_SQL | sessions.ORACLE_SQL | preparation.ORACLE_SQL | whole.ORACLE_SQL | requests.ORACLE_SQL
 flagship = documents.label_counts

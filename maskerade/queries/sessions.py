@@ -96,12 +96,14 @@ def session_names(spark, sf_dir):
 
 @query("SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value, 'number' AS kind FROM events")
 def json_walk_props(spark, sf_dir):
-    walked = walk.leaves(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "props", depth=2)
+    ship(spark)
+    walked = walk.leaves(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "props")
     return walked.select("event_id", "path", "value", "kind")
 
 
 # A request body: messages, a tool call whose arguments are JSON in a string, routing ids.
 def _bodies(spark, sf_dir):
+    ship(spark)
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     args = F.to_json(F.struct(F.concat(F.lit("pw"), F.col("c_custkey").cast("string")).alias("password"), (F.col("c_custkey") % 900 + 100).alias("cvv"), F.lit("ok").alias("note")))
     call = F.struct(F.lit("call_1").alias("id"), args.alias("arguments"))
@@ -118,7 +120,7 @@ def _bodies(spark, sf_dir):
 )
 def json_body_fields(spark, sf_dir):
     """Text of a request, by path: content, arguments inside strings, numbers; roles, ids and the model are structure."""
-    return walk.fields(walk.leaves(_bodies(spark, sf_dir), "c_custkey", depth=7)).select("c_custkey", "path", "value")
+    return walk.fields(walk.leaves(_bodies(spark, sf_dir), "c_custkey")).select("c_custkey", "path", "value")
 
 
 @query(
@@ -126,7 +128,7 @@ def json_body_fields(spark, sf_dir):
 )
 def keyed_redaction(spark, sf_dir):
     """Values under sensitive keys, whatever they look like."""
-    return walk.keyed(walk.leaves(_bodies(spark, sf_dir), "c_custkey", depth=7)).select("c_custkey", "label", "value")
+    return walk.keyed(walk.leaves(_bodies(spark, sf_dir), "c_custkey")).select("c_custkey", "label", "value")
 
 
 _KEYS = (

@@ -205,7 +205,7 @@ ps AS (SELECT *, EXISTS (SELECT 1 FROM g WHERE p.doc = g.doc AND p."start" < g."
 c AS (SELECT label, (SELECT count(*) FROM gs WHERE gs.label = l.label) AS gold, (SELECT count(*) FROM gs WHERE gs.label = l.label AND hit) AS detected,
   (SELECT count(*) FROM gs WHERE gs.label = l.label AND same) AS labelled, (SELECT count(*) FROM ps WHERE ps.label = l.label) AS pred, (SELECT count(*) FROM ps WHERE ps.label = l.label AND same) AS "right" FROM labels l),
 r AS (SELECT *, round(labelled / gold, 6) AS recall, round(detected / gold, 6) AS detect_recall, round("right" / pred, 6) AS "precision" FROM c)
-SELECT *, round(2 * "precision" * recall / ("precision" + recall), 6) AS f1 FROM r
+SELECT *, round(2 * ("right" / pred) * (labelled / gold) / ("right" / pred + labelled / gold), 6) AS f1 FROM r
 """
 
 
@@ -244,7 +244,7 @@ def logit_parity(spark, sf_dir):
     return evaluate.parity(pairs).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"SELECT * FROM (SELECT round(avg(f1), 6) AS macro_f1, round(2 * (sum(\"right\") / sum(pred)) * (sum(labelled) / sum(gold)) / (sum(\"right\") / sum(pred) + sum(labelled) / sum(gold)), 6) AS micro_f1 FROM ({_PRF}) q) q")
+@query(f"SELECT * FROM (SELECT cast((2 * sum(cast(round(2 * (\"right\" / pred) * (labelled / gold) / (\"right\" / pred + labelled / gold) * 1000000) as bigint)) + count(*)) // (2 * count(*)) as double) / 1000000 AS macro_f1, round(2 * (sum(\"right\") / sum(pred)) * (sum(labelled) / sum(gold)) / (sum(\"right\") / sum(pred) + sum(labelled) / sum(gold)), 6) AS micro_f1 FROM ({_PRF}) q) q")
 def macro_micro_f1(spark, sf_dir):
     return evaluate.macro_micro(eval_label_prf(spark, sf_dir))
 
