@@ -66,6 +66,12 @@ def ambiguous(entities: DataFrame, key: str) -> DataFrame:
     return entities.join(bad, key, "left_semi")
 
 
+def unambiguous(entities: DataFrame, key: str) -> DataFrame:
+    """The rows of documents in which every value has one label."""
+    bad = entities.groupBy(key, "value").agg(F.countDistinct("label").alias("n")).filter("n > 1").select(key).distinct()
+    return entities.join(bad, key, "left_anti")
+
+
 def invalid(docs: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Constraint violations of gold spans: out of range, blank, unknown label; counts by label and fault."""
     known = [*{x for v in fixed.CATEGORIES.values() for x in v}, *fixed.FLOOR_LABELS]

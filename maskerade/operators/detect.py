@@ -135,11 +135,13 @@ THIN = (
     SSN_DOTTED,
     *CARD_PARTS,
 )
-CLIENT = (
+_CLIENT = (
     Rule("tier0:nam", fixed.HEALTH_CARD, "government_id", 0.85),
     Rule("tier0:saaq_licence", fixed.DRIVER_LICENCE, "sensitive_account_id", 0.65, _cued(fixed.DRIVER_CUE)),
     Rule("tier0:neq", fixed.ENTERPRISE, "sensitive_account_id", 0.9, _cued(fixed.ENTERPRISE_CUE)),
 )
+#: The client's rules: those of the wide profile but for IPv6, ZIP codes and numbers glued to letters, and its own.
+CLIENT = tuple(r for r in WIDE if r.name not in ("tier0:ipv6", "tier0:us_zip", "tier0:card_glued", "tier0:iban_glued", "tier0:digit_glued")) + _CLIENT
 
 
 def _iban_ends(spans: Column) -> Column:
@@ -151,7 +153,7 @@ def _iban_ends(spans: Column) -> Column:
 
 def spans(text: Column, profile: str = "wide", phones: Column | None = None) -> Column:
     """Array of spans of normalised text, in order of rules."""
-    rules = {"wide": WIDE, "thin": THIN, "client": WIDE + CLIENT}[profile]
+    rules = {"wide": WIDE, "thin": THIN, "client": CLIENT}[profile]
     found = {r: scan(text, r) if "iban" not in r.name else _iban_ends(scan(text, r)) for r in rules}
     none = F.array().cast(f"array<{SPAN}>")
     mail = [x for r, x in found.items() if r.pattern == fixed.EMAIL]

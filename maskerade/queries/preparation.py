@@ -91,6 +91,16 @@ def ambiguous_values(spark, sf_dir):
     return corpus.ambiguous(rows, "doc").groupBy("doc").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT c_nationkey * 200 + c_custkey % 200 AS doc, count(*) AS n FROM customer WHERE c_nationkey * 200 + c_custkey % 200 NOT IN"
+    " (SELECT doc FROM (SELECT c_nationkey * 200 + c_custkey % 200 AS doc, cast(c_custkey % 7 as string) AS value, count(DISTINCT c_mktsegment) AS k FROM customer GROUP BY 1, 2) q WHERE k > 1) GROUP BY 1"
+)
+def unambiguous_rows(spark, sf_dir):
+    """What is left when documents go in which a value has two labels."""
+    rows = _table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 200 + F.col("c_custkey") % 200).alias("doc"), (F.col("c_custkey") % 7).cast("string").alias("value"), F.col("c_mktsegment").alias("label"))
+    return corpus.unambiguous(rows, "doc").groupBy("doc").agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH s AS (SELECT doc_id, cast(doc_id % 50 as int) AS "start", cast(CASE doc_id % 4 WHEN 0 THEN n_chars + 5 WHEN 1 THEN doc_id % 50 + 3 WHEN 2 THEN doc_id % 50 ELSE doc_id % 50 + 1 END as int) AS "end",
   CASE WHEN doc_id % 5 = 0 THEN 'odd' ELSE 'person' END AS label, text FROM documents),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
+
 GOLD = "input string, output struct<spans:array<array<string>>, entities:map<string,array<string>>>, meta map<string,string>"
 
 
@@ -26,9 +28,14 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def neutral_names(docs: DataFrame, order: str, suffix: str = ".txt") -> DataFrame:
-    """Names that tell nothing: document-0001.txt and so on, in order."""
-    n = F.row_number().over(Window.orderBy(order))
-    return docs.withColumn("name", F.concat(F.lit("document-"), F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")), F.lit(suffix)))
+    """Names that tell nothing: document-0001.txt and so on, in order. Ranges of the order are counted, and ranked each on its own."""
+    keep = docs.columns
+    cut = pin(docs.repartitionByRange(order)).withColumn("_range", F.spark_partition_id())
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rows = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(order))).join(F.broadcast(before), "_range")
+    n = F.col("_before") + F.col("_in")
+    return rows.select(*keep, F.concat(F.lit("document-"), F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")), F.lit(suffix)).alias("name"))
 
 
 def sealed(value: Column, key: Column) -> Column:
