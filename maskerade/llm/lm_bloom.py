@@ -399,8 +399,11 @@ _KEYS = [pa.int32(), pa.int32(), pa.int64()]
 
 
 @textbytes.lean
-def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Sums what is known here; per stretch its documents with what is open, and by part what is asked for it."""
+def _ask(batches: Iterator[pa.RecordBatch], model: Model, documents: bool) -> Iterator[pa.RecordBatch]:
+    """Sums what is known here: per stretch its documents with what is open (``documents``), or by part what is asked for it.
+
+    Both are told by the partition's number and what has been read of it: their tables begin with the same scan.
+    """
     part, buckets = TaskContext.get().partitionId(), model.buckets
     stretch, size = part << 40, 0
     held: dict[str, list[np.ndarray]] = {}
@@ -414,11 +417,12 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             where.append(bucket.astype("<u4").tobytes())
-            for k in np.flatnonzero(np.diff(edges)).tolist():
+            for k in np.flatnonzero(np.diff(edges)).tolist() if not documents else ():
                 some = h[order[edges[k] : edges[k + 1]]]
                 rows.append((kind, k, stretch, some.tobytes() if kind == WORDS else _packed(some), *[None] * 4))
-        streams = [got["alone"].tobytes(), got["both"].tobytes(), got["sums"].tobytes(), *where]
-        rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes(), *[None] * 3))
+        if documents:
+            streams = [got["alone"].tobytes(), got["both"].tobytes(), got["sums"].tobytes(), *where]
+            rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes(), *[None] * 3))
         yield _batch(names, types, rows)
 
     for batch in batches:
@@ -465,7 +469,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
 
 @textbytes.lean
 def _answer(table: pa.Table, model: Model) -> pa.Table:
-    """What a part knows of the words (levels, counts, sums after them) and pairs (levels) that each stretch asks for; stretches go through."""
+    """What a part knows of the words (levels, counts, sums after them) and pairs (levels) that each stretch asks for."""
     kinds, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
     words, counts, sums, levels = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<f4"), np.zeros(0, np.int64)
     two = None
@@ -480,11 +484,9 @@ def _answer(table: pa.Table, model: Model) -> pa.Table:
         at, there = _among(words, u)
         sums[at[there]] = s[there]
     rows = []
-    for i in np.flatnonzero(kinds <= DOCUMENT).tolist():
+    for i in np.flatnonzero(kinds < DOCUMENT).tolist():
         kind, stretch = int(kinds[i]), table.column("stretch")[i].as_py()
-        if kind == DOCUMENT:
-            rows.append((kind, bucket, stretch, table.column("h")[i].as_py(), table.column("n")[i].as_py(), None))
-        elif kind == WORDS:
+        if kind == WORDS:
             at, there = _among(words, np.frombuffer(table.column("h")[i].as_buffer(), "<u8"))
             pick = lambda x, t: (np.where(there, x[at], 0) if len(words) else np.zeros(len(at))).astype(t).tobytes()  # noqa: B023, E731
             rows.append((kind, bucket, stretch, pick(levels, np.uint8), pick(counts, "<u4"), pick(sums, "<f4")))
@@ -541,12 +543,15 @@ def _finish(table: pa.Table, model: Model) -> pa.Table:
 def score(docs: DataFrame, model: Model, words: DataFrame, two: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    asked = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text").mapInArrow(lambda it: _ask(it, shared.value), ROUTED)
+    texts = docs.select(F.col("doc_id").cast("long"), (~train_part()).alias("held_out"), "text")
+    asked = texts.mapInArrow(lambda it: _ask(it, shared.value, False), ROUTED)
+    # made again rather than sent with what is asked: it would be shuffled twice
+    stretches = texts.mapInArrow(lambda it: _ask(it, shared.value, True), ROUTED).select("kind", "bucket", "stretch", "h", "n", F.lit(None).cast("binary").alias("s"))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     known = words.select(F.lit(VOCABULARY).alias("kind"), "bucket", *none("long", "stretch"), "h", "n", *none("binary", "u", "runs"), "filter")
     known = known.unionByName(two.select(F.lit(PAIRS).alias("kind"), "bucket", *none("long", "stretch"), "h", *none("binary", "n"), "u", "runs", "filter"))
     answers = asked.unionByName(known).groupBy("bucket").applyInArrow(lambda t: _answer(t, shared.value), ANSWERED)
-    rows = answers.groupBy("stretch").applyInArrow(lambda t: _finish(t, shared.value), SCORED)
+    rows = stretches.unionByName(answers).groupBy("stretch").applyInArrow(lambda t: _finish(t, shared.value), SCORED)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
