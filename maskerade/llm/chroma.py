@@ -4,13 +4,12 @@ Samples become frames, frames spectra, spectra the energy of the twelve pitch cl
 to unit length. Over that image of 12 rows, ``FILTERS`` compare two areas each, summed from its integral image; the
 comparison is quantised to two bits, and a frame's sixteen pairs of bits are one 32-bit integer.
 
-Recordings of the same sound share integers at one offset. The first ``BITS`` bits of an integer are its key. Keys of
-all recordings, and those of the queries with each single bit flipped, meet by shuffle; hits vote for offsets, and
-where ``VOTES`` meet, the bits of the two fingerprints at that offset are compared; an overlap of at least ``OVERLAP``
-frames with a share of wrong bits of at most ``ERRORS`` is a match. A key that more than ``HOT`` places have (silence, a
-sound that many recordings hold) says little: its places are looked up by it and the key after it, or the three after
-it, and of one sound held long only the first ``RUN`` frames are looked up. No task gathers a key's places: what they
-meet are a query's few, and joins on keys can be split.
+Recordings of the same sound share integers at one offset. The first ``BITS`` bits of an integer are its key. Blocks of
+queries meet blocks of recordings, and in a pair of blocks all hits of keys, with each single bit flipped, vote for
+offsets: where ``VOTES`` meet, the bits of the two fingerprints at that offset are compared; an overlap of at least
+``OVERLAP`` frames with a share of wrong bits of at most ``ERRORS`` is a match. No key is too common: hits of silence, or
+of a sound that many recordings hold, all count, in portions of ``HOT``. Hits never leave the task that makes them, so
+nothing gathers by key; how many there are grows with queries times recordings.
 
 Recordings with the same samples are one, with as many copies, so that copies are never compared with each other.
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, textbytes
+from . import common
 
 RATE, FRAME, HOP = 8000, 1024, 512
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
@@ -47,7 +46,9 @@ WIDTH = 12
 #: Bounds of the four values of a comparison, a logarithm of a ratio.
 BOUNDS = (-0.12, 0.0, 0.12)
 BITS, VOTES, OVERLAP, ERRORS = 24, 3, 16, 0.2
-HOT, RUN = 1000, 3
+_CHANGES = np.array([0, *(1 << k for k in range(BITS))], np.uint32)
+#: Integers in a block, hits that are counted at once, and blocks of queries that are broadcast.
+FRAMES, HOT, BROADCAST = 1 << 17, 1 << 20, 64
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -146,71 +147,167 @@ def fingerprints(recordings: DataFrame, render: Callable[[np.ndarray], np.ndarra
     return members, common.pin(sounds.drop("samples", "same").join(prints, "sound"))
 
 
-PLACES = "sound long, place int, k1 long, k2 long, k4 long"
+PACKED = "sounds array<long>, sizes array<int>, prints binary"
 
 
-def _places(batches: Iterator[pa.RecordBatch], flips: bool) -> Iterator[pa.RecordBatch]:
-    """Where keys are: a key, and it with the one and the three after it; with ``flips`` also with each bit of the key flipped."""
-    changes = np.array([0, *(1 << k for k in range(BITS))] if flips else [0], np.uint64)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints side by side, a row for about ``FRAMES`` integers; those too short for an overlap match nothing."""
+
+    def row(sounds: list[int], prints: list[bytes]) -> pa.RecordBatch:
+        sizes = [len(p) // 4 for p in prints]
+        return pa.RecordBatch.from_pydict({"sounds": pa.array([sounds], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "prints": pa.array([b"".join(prints)], pa.binary())})
+
+    sounds, prints, held = [], [], 0
     for batch in batches:
-        for sound, raw in zip(batch.column("sound").to_pylist(), batch.column("print"), strict=True):
-            key = (np.frombuffer(raw.as_buffer(), "<u4") if raw.is_valid else np.zeros(0, "<u4")) >> np.uint32(32 - BITS)
-            fresh = np.ones(len(key), bool)
-            if len(key) > RUN:
-                fresh[RUN:] = np.any([key[RUN:] != key[RUN - k : len(key) - k] for k in range(1, RUN + 1)], axis=0)
-            place = np.flatnonzero(fresh)
-            if not len(place):
+        for sound, raw in zip(batch.column("sound").to_pylist(), batch.column("print").to_pylist(), strict=True):
+            if len(raw or b"") < 4 * OVERLAP:
                 continue
-            after = np.concatenate((key.astype(np.uint64) + np.uint64(1), np.zeros(3, np.uint64)))  # 0 after the end
-            first = (key[place].astype(np.uint64)[:, None] ^ changes).ravel()
-            i = np.repeat(place, len(changes))
-            two = textbytes.combined([first + np.uint64(1), after[i + 1]])
-            four = textbytes.combined([two, after[i + 2], after[i + 3]])
-            yield pa.RecordBatch.from_pydict(
-                {"sound": pa.array(np.full(len(i), sound, np.int64)), "place": pa.array(i.astype(np.int32))} | {n: pa.array(k.view(np.int64)) for n, k in (("k1", first), ("k2", two), ("k4", four))}
-            )
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap and share of wrong bits of two fingerprints at an offset."""
-    for batch in batches:
-        frames, errors = [], []
-        for shift, q, p in zip(batch.column("offset").to_pylist(), batch.column("asked"), batch.column("print"), strict=True):
-            q, p = np.frombuffer(q.as_buffer(), "<u4"), np.frombuffer(p.as_buffer(), "<u4")
-            a, b = max(0, -shift), min(len(q), len(p) - shift)
-            frames.append(b - a)
-            errors.append(int(np.bitwise_count(q[a:b] ^ p[a + shift : b + shift]).sum()) / (32 * (b - a)))
-        names = ("query", "sound", "offset", "votes")
-        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"frames": pa.array(frames, pa.int32()), "errors": pa.array(errors, pa.float64())})
+            if held and held + len(raw) // 4 > FRAMES:
+                yield row(sounds, prints)
+                sounds, prints, held = [], [], 0
+            sounds.append(sound)
+            prints.append(raw)
+            held += len(raw) // 4
+    if sounds:
+        yield row(sounds, prints)
+
+
+class _Prints:
+    """Fingerprints side by side: the integers, where each begins and ends, and of each integer whose it is."""
+
+    def __init__(self, sounds: pa.ListScalar, sizes: pa.ListScalar, prints: pa.BinaryScalar):
+        self.sounds, self.sizes = sounds.values.to_numpy(), sizes.values.to_numpy().astype(np.int64)
+        self.bits = np.frombuffer(prints.as_buffer(), "<u4")
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.keys = self.bits >> np.uint32(32 - BITS)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one behind the other."""
+    out = np.arange(int(count.sum()), dtype=np.int64)
+    return out + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def _slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts what has these weights into runs of at most ``most``, or of one."""
+    upto, a = np.cumsum(weights), 0
+    while a < len(weights):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells with at least ``VOTES`` votes, and their votes."""
+    cells = np.sort(cells)
+    begins = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, np.int64)
+    votes = np.diff(np.append(begins, len(cells)))
+    enough = votes >= VOTES
+    return cells[begins[enough]], votes[enough]
+
+
+def _histograms(asked: _Prints, prints: _Prints, q0: int, q1: int, s0: int, s1: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Query, sound, offset and votes of the offsets at which these queries and these sounds share ``VOTES`` keys.
+
+    Every hit of every key counts. Where there are more than ``most`` at once, queries or sounds are halved; the
+    histogram of one query and one sound is an array that hits are added to.
+    """
+    f0, p0 = int(asked.starts[q0]), int(prints.starts[s0])
+    mine, theirs = asked.keys[f0 : asked.ends[q1 - 1]], prints.keys[p0 : prints.ends[s1 - 1]]
+    at, place = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+    a, a_first, a_count = np.unique(mine[at], return_index=True, return_counts=True)
+    b, b_first, b_count = np.unique(theirs[place], return_index=True, return_counts=True)
+    # the side with fewer keys is looked up in the other, each key with and without each single bit flipped
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    probes = few[:, None] ^ _CHANGES
+    found = np.minimum(np.searchsorted(many, probes), len(many) - 1)
+    i, j = np.nonzero(many[found] == probes)
+    i, j = (i, found[i, j]) if few is a else (found[i, j], i)
+    count = a_count[i] * b_count[j]
+    hits = int(count.sum())
+    if hits > most and (q1 - q0 > 1 or s1 - s0 > 1):
+        if q1 - q0 > 1:
+            middle = (q0 + q1) // 2
+            halves = ((q0, middle, s0, s1), (middle, q1, s0, s1))
+        else:
+            middle = (s0 + s1) // 2
+            halves = ((q0, q1, s0, middle), (q0, q1, middle, s1))
+        for half in halves:
+            yield from _histograms(asked, prints, *half, most)
+        return
+    # an offset's cell: a row for each query, in it a stretch for each sound, long enough for all offsets
+    longest = int(asked.sizes[q0:q1].max())
+    width = len(theirs) + (s1 - s0) * longest
+
+    def cells(pair: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Of the ``k``-th hits of these pairs of keys."""
+        frame, where = at[a_first[i[pair]] + k // b_count[j[pair]]], place[b_first[j[pair]] + k % b_count[j[pair]]]
+        q, s = asked.of[f0 + frame], prints.of[p0 + where]
+        return (q - q0) * width + where + (s - s0) * longest + (longest - 1) - (frame + f0 - asked.starts[q])
+
+    if hits > most:
+        votes, upto = np.zeros(width, np.int64), np.cumsum(count)
+        for low in range(0, hits, most):
+            hit = np.arange(low, min(hits, low + most))
+            pair = np.searchsorted(upto, hit, "right")
+            np.add.at(votes, cells(pair, hit - (upto[pair] - count[pair])), 1)
+        cell = np.flatnonzero(votes >= VOTES)
+        votes = votes[cell]
+    else:
+        cell, votes = _counted(cells(np.repeat(np.arange(len(count)), count), _ranges(np.zeros(len(count), np.int64), count)))
+    begins = prints.starts[s0:s1] - p0 + np.arange(s1 - s0) * longest
+    q, rest = cell // width, cell % width
+    s = np.searchsorted(begins, rest, "right") - 1
+    yield q + q0, s + s0, rest - begins[s] - (longest - 1), votes
+
+
+def _compared(asked: _Prints, prints: _Prints, q: np.ndarray, s: np.ndarray, offset: np.ndarray, votes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Of the matches among these offsets query, sound, offset, votes, frames and errors, the best of each pair."""
+    a, b = np.maximum(0, -offset), np.minimum(asked.sizes[q], prints.sizes[s] - offset)
+    long = b - a >= OVERLAP
+    q, s, offset, votes, a, frames = q[long], s[long], offset[long], votes[long], a[long], (b - a)[long]
+    wrong = np.zeros(len(q), np.int64)
+    for i, j in _slices(frames, most):
+        n = frames[i:j]
+        x, y = asked.bits[_ranges((asked.starts[q] + a)[i:j], n)], prints.bits[_ranges((prints.starts[s] + a + offset)[i:j], n)]
+        wrong[i:j] = np.add.reduceat(np.bitwise_count(x ^ y), np.cumsum(n) - n, dtype=np.int64)
+    errors = wrong / (32 * frames)
+    good = np.flatnonzero((errors <= ERRORS) & (asked.sounds[q] != prints.sounds[s]))
+    good = good[np.lexsort((offset[good], -votes[good], errors[good], s[good], q[good]))]
+    new = np.ones(len(good), bool)
+    new[1:] = (q[good[1:]] != q[good[:-1]]) | (s[good[1:]] != s[good[:-1]])
+    good = good[new]
+    return [asked.sounds[q[good]], prints.sounds[s[good]], offset[good], votes[good], frames[good], errors[good]]
 
 
 MATCHES = "query long, sound long, offset int, votes long, frames int, errors double"
 
 
+def _matched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Matches of blocks of queries in blocks of sounds."""
+    names, types = zip(*(f.split() for f in MATCHES.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t] for t in types]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            asked, prints = (_Prints(*(batch.column(mark + c)[k] for c in ("sounds", "sizes", "prints"))) for mark in ("_", ""))
+            for some in _histograms(asked, prints, 0, len(asked.sizes), 0, len(prints.sizes), most):
+                best = _compared(asked, prints, *some, most)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(best, types, strict=True)], names=list(names))
+
+
 def search(queries: DataFrame, sounds: DataFrame) -> DataFrame:
     """Matches (query, sound, offset, votes, frames, errors) of the queries (sound, print) among all sounds, the best offset of each. Pinned.
 
-    An offset is the recording's place at the query's 0.
+    An offset is the recording's place at the query's 0. Blocks of queries meet all blocks of sounds.
     """
-    places = common.pin(sounds.select("sound", "print").mapInArrow(lambda it: _places(it, False), PLACES))
-    asked = queries.select("sound", "print").mapInArrow(lambda it: _places(it, True), PLACES)
-    hot1 = common.pin(places.groupBy("k1").count().filter(F.col("count") > HOT).select(F.col("k1").alias("_k1")))
-    hot2 = common.pin(places.join(common.small(hot1), F.col("k1") == F.col("_k1"), "left_semi").groupBy("k2").count().filter(F.col("count") > HOT).select(F.col("k2").alias("_k2")))
-
-    def told(df: DataFrame) -> DataFrame:
-        """Keys as long as it takes."""
-        df = df.join(common.small(hot1), F.col("k1") == F.col("_k1"), "left").join(common.small(hot2), F.col("k2") == F.col("_k2"), "left")
-        length = F.when(F.col("_k1").isNull(), 1).when(F.col("_k2").isNull(), 2).otherwise(4)
-        return df.select("sound", "place", length.alias("keys"), F.when(length == 1, F.col("k1")).when(length == 2, F.col("k2")).otherwise(F.col("k4")).alias("key"))
-
-    hits = told(asked).withColumnsRenamed({"sound": "query", "place": "at"}).join(told(places), ["keys", "key"]).filter("query <> sound")
-    votes = hits.groupBy("query", "sound", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES)
-    size = lambda c: F.octet_length(c) / 4
-    overlap = F.least(size("asked"), size("print") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
-    met = votes.join(queries.select(F.col("sound").alias("query"), F.col("print").alias("asked")), "query").join(sounds.select("sound", "print"), "sound").filter(overlap >= OVERLAP)
-    found = met.select("query", "sound", "offset", "votes", "asked", "print").mapInArrow(_compare, MATCHES).filter(F.col("errors") <= ERRORS)
-    best = F.min(F.struct("errors", (-F.col("votes")).alias("less"), "offset", "votes", "frames")).alias("b")
-    return common.pin(found.groupBy("query", "sound").agg(best).select("query", "sound", "b.offset", "b.votes", "b.frames", "b.errors"))
+    most = HOT
+    frames = queries.agg(F.sum(F.octet_length("print"))).first()[0] or 0
+    blocks = lambda df, parts: df.select("sound", "print").repartition(parts).mapInArrow(_packed, PACKED)
+    asked = common.pin(blocks(queries, 4 + frames // (4 * FRAMES)).withColumnsRenamed({c: f"_{c}" for c in ("sounds", "sizes", "prints")}))
+    met = blocks(sounds, 2 * common.shuffle_partitions(sounds.sparkSession)).crossJoin(common.small(asked, rows=BROADCAST))
+    return common.pin(met.mapInArrow(lambda it: _matched(it, most), MATCHES))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -715,6 +715,27 @@ def test_sounds_that_many_hold(spark, monkeypatch):
     assert got == {i for _, i in want}
 
 
+def test_common_keys_lose_no_match(spark):
+    """Keys that thousands of places have with other keys around each, long sounds that begin elsewhere: against all pairs at all offsets."""
+    rng = np.random.default_rng(9)
+    common, long, low = 0xABCDEF12, 0x13572468, np.uint32(1 << 9 | 1 << 12)  # two wrong bits in a key
+    other = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    between, tail = other(20), other(24)
+    every = lambda x: np.stack((np.full(20, common, np.uint32), x), 1).ravel()
+    prints = {0: every(between), 1: every(between ^ low), 2: np.append(np.full(10, long, np.uint32), tail), 3: np.concatenate((other(5), np.full(30, long, np.uint32), tail ^ low))}
+    prints |= {10 + i: every(other(20)) for i in range(120)} | {200: other(15), 201: other(0)}
+    prints |= {300: np.full(600, long, np.uint32), 301: np.append(np.full(700, long, np.uint32), other(30))}
+    sounds = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes())) for k, v in prints.items()] + [(999, None)], "sound long, print binary")
+    asked = [0, 2, 200, 300]
+    want = all_matches(prints, asked)
+    assert {(0, 1), (2, 3), (300, 301)} <= set(want)
+    for most in (chroma.HOT, 1000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(chroma, "HOT", most)
+            found = {(r["query"], r["sound"]): r["errors"] for r in chroma.search(sounds.filter(sounds["sound"].isin(asked)), sounds).collect()}
+        assert found == pytest.approx(want)
+
+
 def test_identity_of_recordings(spark):
     rows = [(50, [0.1, None] * 40), (51, [None, 0.1] * 40), (52, [0.1, 0.0] * 40)]
     members, sounds = chroma.fingerprints(spark.createDataFrame(rows, "id long, samples array<float>"), chroma.melody)
