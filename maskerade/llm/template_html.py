@@ -47,6 +47,8 @@ SUPPORT, HOLDS, PAGES = 0.5, 0.6, 3
 #: A slot before the main one is main text from this share of its text, and from so many characters a page.
 LEAD, LEAD_CHARS = 0.25, 100
 DEPTH = 512
+#: Hashes of pages with copies that are broadcast.
+COPIED = 1_000_000
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
@@ -298,7 +300,7 @@ def _facts(found: dict[int, _Seen], host: str | None, seed: int, top: _Path) ->
         ]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], squeezed: bool) -> Iterator[pa.RecordBatch]:
     """The sums of a batch for each host and token."""
     names = [f.split()[0] for f in FACTS.split(", ")]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * len(SUMS)]
@@ -306,7 +308,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list] = {}
         top = root()
         for host, same, page in zip(*(batch.column(c).to_pylist() for c in ("host", "same", "html")), strict=True):
-            for row in _facts(seen(zlib.decompress(page).decode("utf-8", "surrogatepass"), top), host, _hash(f"{host}\0{same}"), top):
+            page = zlib.decompress(page).decode("utf-8", "surrogatepass") if squeezed else page
+            for row in _facts(seen(page, top), host, _hash(f"{host}\0{same}"), top):
                 have = sums.setdefault((host, row[1]), row)
                 if have is not row:
                     for i in range(6, len(row)):
@@ -414,11 +417,27 @@ def deduce(tokens: list[dict]) -> dict:
     return {"host": made.base["host"], "pages": made.base["pages"], "containers": without, "constants": sorted(constants), "classes": made.nested}
 
 
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """Facts of each distinct page (host, same, html). Only pages that may have a copy are shuffled, to meet it; where
+    the hashes of those are more than ``COPIED``, all are."""
+    key = F.xxhash64("host", "same")
+    copied = common.pin(keyed.groupBy(key.alias("_key")).count().filter("count > 1").select("_key"))
+
+    def met(df: DataFrame) -> DataFrame:
+        squeezed = df.mapInArrow(_squeezed, "host string, same string, html binary")
+        return squeezed.groupBy("host", "same").agg(F.any_value("html").alias("html")).mapInArrow(lambda it: _count(it, True), FACTS)
+
+    n = copied.count()
+    if n > COPIED:
+        return met(keyed)
+    once = keyed.join(F.broadcast(copied), key == F.col("_key"), "left_anti") if n else keyed
+    once = once.mapInArrow(lambda it: _count(it, False), FACTS)
+    return once.unionByName(met(keyed.join(F.broadcast(copied), key == F.col("_key"), "left_semi"))) if n else once
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """A row for each host with enough pages, and one of host null for all pages together. Pinned."""
-    keyed = pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html").filter("html is not null")
-    keyed = keyed.mapInArrow(_squeezed, "host string, same string, html binary")
-    counted = keyed.groupBy("host", "same").agg(F.any_value("html").alias("html")).mapInArrow(_count, FACTS)
+    counted = _distinct(pages.select(F.expr(_HOST_SQL).alias("host"), F.md5(F.col("html").cast("binary")).alias("same"), "html").filter("html is not null"))
     sums = [*(F.any_value(c).alias(c) for c in ("parent", "step", "depth", "aside")), *(F.sum(c).alias(c) for c in SUMS)]
     facts = common.pin(counted.groupBy("host", "token").agg(*sums))
     top = F.lit(root().key)

@@ -584,6 +584,36 @@ def test_odd_pages_of_a_host(spark):
     assert (got[20], got[21]) == ("", "") and "other page" in got[22]
 
 
+def test_only_pages_with_copies_are_shuffled(spark, monkeypatch):
+    """Pages without a copy aren't sent; templates are those of the distinct pages, however many copies there are."""
+    import random
+    import time
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9))
+    rows = [(i, f"http://h{i % 4}/{i}", f"<body><nav>menu</nav><main><h1>{word()}</h1><p>{' '.join(word() for _ in range(5000))}</p></main></body>") for i in range(60)]
+
+    def written():
+        time.sleep(1)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    def made(rows):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+        df = spark.createDataFrame(df.collect(), df.schema)  # the dealing isn't to count
+        before = written()
+        found = template_html.templates(df)
+        sent = written() - before
+        texts = {(r["page_id"], r["url"], r["text"]) for r in template_html.extract(df, found).collect()}
+        return sent, sorted(map(repr, found.collect())), texts
+
+    sent, template, texts = made(rows)
+    assert sent < 0.2 * sum(len(r[2]) for r in rows)
+    _, again, more = made(rows + [(100 + i, u, h) for i, u, h in rows[:20]] * 2)
+    monkeypatch.setattr(template_html, "COPIED", 0)
+    _, every, _ = made(rows + [(100 + i, u, h) for i, u, h in rows[:20]] * 2)
+    assert template == again == every and texts <= more and len(more) == 80
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
