@@ -6,8 +6,9 @@ comparison is quantised to two bits, and a frame's sixteen pairs of bits are one
 
 Recordings of the same sound share integers at one offset. The first ``BITS`` bits of an integer are its key. Blocks of
 queries meet blocks of recordings, and in a pair of blocks all hits of keys, with each single bit flipped, vote for
-offsets: where ``VOTES`` meet, the bits of the two fingerprints at that offset are compared; an overlap of at least
-``OVERLAP`` frames with a share of wrong bits of at most ``ERRORS`` is a match. No key is too common: hits of silence, or
+offsets: where at least ``VOTES`` meet, the bits of the two fingerprints at that offset are compared; an overlap of at
+least ``OVERLAP`` frames with a share of wrong bits of at most ``ERRORS`` is a match. One vote is enough, as matches may
+be short and noisy: of those of the driver's vectors, three votes of 24 bits had a third or less. No key is too common: hits of silence, or
 of a sound that many recordings hold, all count, in portions of ``HOT``. Hits never leave the task that makes them, so
 nothing gathers by key; how many there are grows with queries times recordings.
 
@@ -45,7 +46,9 @@ FILTERS = (
 WIDTH = 12
 #: Bounds of the four values of a comparison, a logarithm of a ratio.
 BOUNDS = (-0.12, 0.0, 0.12)
-BITS, VOTES, OVERLAP, ERRORS = 24, 3, 16, 0.2
+BITS, VOTES, OVERLAP, ERRORS = 20, 1, 16, 0.2
+_NEW = np.where(np.arange(OVERLAP) >= np.arange(OVERLAP + 1)[:, None], np.uint32(0xFFFFFFFF), np.uint32(0))
+_LANES = np.uint64(0x00FF00FF00FF00FF)
 _CHANGES = np.array([0, *(1 << k for k in range(BITS))], np.uint32)
 #: Integers in a block, hits that are counted at once, and blocks of queries that are broadcast.
 FRAMES, HOT, BROADCAST = 1 << 17, 1 << 20, 64
@@ -263,16 +266,37 @@ def _histograms(asked: _Prints, prints: _Prints, q0: int, q1: int, s0: int, s1:
     yield q + q0, s + s0, rest - begins[s] - (longest - 1), votes
 
 
+def _ones(windows: np.ndarray) -> np.ndarray:
+    """Bits that are set in each row of integers: counts of bytes, summed as 16-bit lanes of one number."""
+    counts = np.bitwise_count(windows).view(np.uint64)
+    lanes = ((counts & _LANES) + ((counts >> np.uint64(8)) & _LANES)).sum(axis=1, dtype=np.uint64)
+    return ((lanes * np.uint64(0x0001000100010001)) >> np.uint64(48)).astype(np.int64)
+
+
+def _wrong(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """Wrong bits of stretches of at least ``OVERLAP`` integers, by windows of that many; what has too many for a match already isn't read on."""
+    x, y = (np.lib.stride_tricks.sliding_window_view(b, OVERLAP) for b in (x, y))
+    wrong, most, done = np.zeros(len(frames), np.int64), ERRORS * 32 * frames, 0
+    left = np.arange(len(frames))
+    while len(left):
+        begin = np.minimum(done, frames[left] - OVERLAP)
+        different = x[at_x[left] + begin] ^ y[at_y[left] + begin]
+        if done:  # the last window begins with integers that the one before it had
+            different &= _NEW[done - begin]
+        wrong[left] += _ones(different)
+        done += OVERLAP
+        left = left[(wrong[left] <= most[left]) & (frames[left] > done)]
+    return wrong
+
+
 def _compared(asked: _Prints, prints: _Prints, q: np.ndarray, s: np.ndarray, offset: np.ndarray, votes: np.ndarray, most: int) -> list[np.ndarray]:
     """Of the matches among these offsets query, sound, offset, votes, frames and errors, the best of each pair."""
     a, b = np.maximum(0, -offset), np.minimum(asked.sizes[q], prints.sizes[s] - offset)
     long = b - a >= OVERLAP
     q, s, offset, votes, a, frames = q[long], s[long], offset[long], votes[long], a[long], (b - a)[long]
     wrong = np.zeros(len(q), np.int64)
-    for i, j in _slices(frames, most):
-        n = frames[i:j]
-        x, y = asked.bits[_ranges((asked.starts[q] + a)[i:j], n)], prints.bits[_ranges((prints.starts[s] + a + offset)[i:j], n)]
-        wrong[i:j] = np.add.reduceat(np.bitwise_count(x ^ y), np.cumsum(n) - n, dtype=np.int64)
+    for i, j in _slices(np.full(len(q), OVERLAP), 4 * most):
+        wrong[i:j] = _wrong(asked.bits, prints.bits, (asked.starts[q] + a)[i:j], (prints.starts[s] + a + offset)[i:j], frames[i:j])
     errors = wrong / (32 * frames)
     good = np.flatnonzero((errors <= ERRORS) & (asked.sounds[q] != prints.sounds[s]))
     good = good[np.lexsort((offset[good], -votes[good], errors[good], s[good], q[good]))]

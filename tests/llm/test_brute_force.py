@@ -748,7 +748,7 @@ def test_sounds_that_many_hold(spark, monkeypatch):
 def test_common_keys_lose_no_match(spark):
     """Keys that thousands of places have with other keys around each, long sounds that begin elsewhere: against all pairs at all offsets."""
     rng = np.random.default_rng(9)
-    common, long, low = 0xABCDEF12, 0x13572468, np.uint32(1 << 9 | 1 << 12)  # two wrong bits in a key
+    common, long, low = 0xABCDEF12, 0x13572468, np.uint32(1 << 13 | 1 << 16)  # two wrong bits in a key
     other = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
     between, tail = other(20), other(24)
     every = lambda x: np.stack((np.full(20, common, np.uint32), x), 1).ravel()
@@ -766,6 +766,27 @@ def test_common_keys_lose_no_match(spark):
         assert found == pytest.approx(want)
 
 
+def test_recall_on_given_vectors(spark):
+    """Matches of the given vectors are short and noisy ones, by chance. Recall against comparing all at all offsets."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toDF("id", "samples")
+    _, sounds = chroma.fingerprints(rows, chroma.melody)
+    prints = {r["sound"]: np.frombuffer(r["print"], "<u4") for r in sounds.collect()}
+    asked = [r["sound"] for r in sounds.filter("first % 50 = 0").collect()]
+    names, every, n = list(prints), np.stack(list(prints.values())), 48
+    want = {}
+    for q in asked:
+        for shift in range(chroma.OVERLAP - n, n - chroma.OVERLAP + 1):
+            a, b = max(0, -shift), min(n, n - shift)
+            wrong = np.bitwise_count(prints[q][a:b] ^ every[:, a + shift : b + shift]).sum(axis=1) / (32 * (b - a))
+            for k in np.flatnonzero(wrong <= chroma.ERRORS):
+                if names[k] != q:
+                    want[q, names[k]] = min(want.get((q, names[k]), 1), wrong[k])
+    found = {(r["query"], r["sound"]): r["errors"] for r in chroma.search(sounds.filter("first % 50 = 0"), sounds).collect()}
+    print("recall", len(found) / len(want), "of", len(want))
+    assert set(found) <= set(want) and all(found[k] >= want[k] - 1e-9 for k in found)
+    assert len(want) >= 10 and len(found) >= 0.9 * len(want)
+
+
 def test_identity_of_recordings(spark):
     rows = [(50, [0.1, None] * 40), (51, [None, 0.1] * 40), (52, [0.1, 0.0] * 40)]
     members, sounds = chroma.fingerprints(spark.createDataFrame(rows, "id long, samples array<float>"), chroma.melody)
