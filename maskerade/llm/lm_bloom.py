@@ -117,10 +117,32 @@ def _unpacked(raw: pa.Buffer | bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+#: The mean of the counts of each level, 0 of level 0.
+_MEANS = np.append(0.0, (float(BASE) ** np.arange(64) * (1 + BASE) - 1) / 2)
+
+
 def quantised(level: np.ndarray) -> np.ndarray:
     """The mean of the counts of each level, 0 of level 0."""
-    first = BASE ** np.maximum(np.asarray(level, np.float64) - 1, 0)
-    return np.where(np.asarray(level) > 0, (first + first * BASE - 1) / 2, 0.0)
+    return _MEANS[level]
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value of a sorted array begins, and how often it is there."""
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=len(sorted_))
+
+
+def _small(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in as few bytes as they need; to 65536 of them numpy sorts by digits."""
+    return bucket.astype("u1" if buckets <= 1 << 8 else "<u2" if buckets <= 1 << 16 else "<u4")
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the order in each, and buckets + 1 edges in it."""
+    edges = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+    return np.argsort(_small(bucket, buckets), kind="stable"), edges
 
 
 def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -180,18 +202,20 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: in
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def rows():
-        two, one, n = np.unique(np.concatenate([t for _, t in held]), return_index=True, return_counts=True)
-        u = np.concatenate([u for u, _ in held])[one]
+        u, two = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        part = _route(u, two, hot, buckets)
-        order = np.lexsort((u, part))
-        u, two, n, part = u[order], two[order], n[order], part[order]
-        edges = np.searchsorted(part, np.arange(buckets + 1))
+        order = np.argsort(two)
+        first, n = _runs(two[order])
+        one = order[first]
+        order = np.argsort(u[one])
+        one, n = one[order], n[order]
+        order, edges = _dealt(_route(u[one], two[one], hot, buckets), buckets)
+        u, two, n = u[one[order]], two[one[order]], n[order].astype("<u4")
         made = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             lo, hi = edges[k], edges[k + 1]
-            own, runs = np.unique(u[lo:hi], return_counts=True)
-            made.append((k, own.tobytes(), runs.astype("<u4").tobytes(), _packed(two[lo:hi]), n[lo:hi].astype("<u4").tobytes()))
+            own, runs = _runs(u[lo:hi])
+            made.append((k, u[lo:hi][own].tobytes(), runs.astype("<u4").tobytes(), _packed(two[lo:hi]), n[lo:hi].tobytes()))
         yield _batch(["bucket", "u", "runs", "h", "n"], [pa.int32(), *[pa.binary()] * 4], made)
 
     for h, at in _texts(batches):
@@ -208,11 +232,14 @@ def _merge_pairs(table: pa.Table, bits: int) -> pa.Table:
     """A part's pairs by context and its filter."""
     u = np.repeat(_joined(table.column("u"), "<u8"), _joined(table.column("runs"), "<u4"))
     raw = np.concatenate([_unpacked(x.as_buffer()) for x in table.column("h")])
-    h, one, back = np.unique(raw, return_index=True, return_inverse=True)
-    n = np.bincount(back, weights=_joined(table.column("n"), "<u4"), minlength=len(h)).astype(np.int64)
-    order = np.argsort(u[one], kind="stable")
-    own, runs = np.unique(u[one], return_counts=True)
-    row = (table.column("bucket")[0].as_py(), own.tobytes(), runs.astype("<u4").tobytes(), _packed(h[order]), Filter(h, n, 1, bits).dump())
+    order = np.argsort(raw)
+    first, _ = _runs(raw[order])
+    n = np.add.reduceat(_joined(table.column("n"), "<u4")[order], first, dtype=np.int64)
+    one = order[first]
+    h, u = raw[one], u[one]
+    order = np.argsort(u)
+    own, runs = _runs(u[order])
+    row = (table.column("bucket")[0].as_py(), u[order[own]].tobytes(), runs.astype("<u4").tobytes(), _packed(h[order]), Filter(h, n, 1, bits).dump())
     return pa.Table.from_batches([_batch(["bucket", "u", "runs", "h", "filter"], [pa.int32(), *[pa.binary()] * 4], [row])])
 
 
@@ -227,8 +254,10 @@ class Filter:
         self.table = np.zeros(1 << (self.bits - 3), np.uint8)
         self.most = int(level.max(initial=0))
         for j in range(1, self.most + 1):
-            for place in self._places(h[level >= j], j):
-                np.bitwise_or.at(self.table, place >> np.uint64(3), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
+            x = self._mixed(h[level >= j], j)
+            for i in range(PROBES):
+                byte, bit = self._place(x, i)
+                np.bitwise_or.at(self.table, byte, np.left_shift(np.uint8(1), bit))
 
     def dump(self) -> bytes:
         return np.array([self.least, self.bits, self.most], "<i8").tobytes() + self.table.tobytes()
@@ -240,24 +269,34 @@ class Filter:
         out.table = np.frombuffer(raw, np.uint8, offset=24)
         return out
 
-    def _places(self, h: np.ndarray, level: int) -> list[np.ndarray]:
-        x = textbytes.mixed(h + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+    def _mixed(self, h: np.ndarray, level: int) -> np.ndarray:
+        return textbytes.mixed(h + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def _place(self, x: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        """Byte and bit of a probe."""
         step = (x >> np.uint64(17)) | np.uint64(1)
-        return [((x + step * np.uint64(i * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - self.bits)) for i in range(PROBES)]
+        place = (x + step * np.uint64(probe * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(64 - self.bits)
+        return (place >> np.uint64(3)).view(np.int64), place.astype(np.uint8) & np.uint8(7)
+
+    def _there(self, x: np.ndarray, probe: int) -> np.ndarray:
+        byte, bit = self._place(x, probe)
+        return (self.table[byte] >> bit) & np.uint8(1) > 0
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The levels of n-grams, 0 for those that it lacks."""
         level = np.zeros(len(h), np.int64)
         live = np.arange(len(h))
         for j in range(1, self.most + 1):
-            for place in self._places(h[live], j)[:1]:
-                live = live[(self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-            there = np.ones(len(live), bool)
-            for place in self._places(h[live], j)[1:]:
-                there &= (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            live = live[there]
-            if not len(live):
+            x = self._mixed(h, j)
+            some = np.flatnonzero(self._there(x, 0))
+            x = x[some]
+            there = self._there(x, 1)
+            for i in range(2, PROBES):
+                there &= self._there(x, i)
+            some = some[there]
+            if not len(some):
                 break
+            live, h = live[some], h[some]
             level[live] = j
         return np.where(level > 0, level + round(math.log(self.least, BASE)), 0)
 
@@ -271,10 +310,19 @@ class Held:
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels as the filter reads them, 0 for n-grams that aren't held."""
         one, back = np.unique(h, return_inverse=True)
+        return self.read(one)[back]
+
+    def read(self, one: np.ndarray) -> np.ndarray:
+        """The same where few n-grams are asked for twice."""
         level = self.filter.levels(one)
         some = np.flatnonzero(level)
         level[some] = np.where(_among(self.known, one[some])[1], level[some], 0)
-        return level[back]
+        return level
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Whether levels aren't 0: the filter finds all that it holds, so what is known tells."""
+        one, back = np.unique(h, return_inverse=True)
+        return _among(self.known, one)[1][back]
 
 
 class Model:
@@ -286,7 +334,7 @@ class Model:
         self.words, self.counts = words[0][order], words[1][order]
         self.alone = Held(Filter(self.words, self.counts, least, bits), self.words)
         #: Sum of quantised counts and of one for each word and for the class of unknown ones.
-        self.mass = float(quantised(self.alone.levels(self.words)).sum()) + rest + types + 1
+        self.mass = float(quantised(self.alone.read(self.words)).sum()) + rest + types + 1
         self.pairs = Held(Filter(np.zeros(0, np.uint64), np.zeros(0)), np.zeros(0, np.uint64))
         self.after(np.zeros(len(self.words)), 0.0)
 
@@ -311,7 +359,7 @@ class Model:
 def _part_sums(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of a part and the sums of their pairs there, as pairs are read."""
     h, u = _unpacked(row["h"]), np.frombuffer(row["u"], "<u8")
-    level = model.pairs.levels(h)
+    level = model.pairs.read(h)
     rare = level == 0
     level[rare] = Filter.load(row["filter"]).levels(h[rare])
     runs = np.frombuffer(row["runs"], "<u4").astype(np.int64)
@@ -414,10 +462,11 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model, documents: bool) -> It
         held.clear()
         where, rows = [], []
         for kind, h, bucket in ((WORDS, got["words"], _bucket(got["words"], buckets)), (TWO, got["two"], _route(got["before"], got["two"], model.hot, buckets))):
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            where.append(bucket.astype("<u4").tobytes())
-            for k in np.flatnonzero(np.diff(edges)).tolist() if not documents else ():
+            if documents:
+                where.append(_small(bucket, buckets).tobytes())
+                continue
+            order, edges = _dealt(bucket, buckets)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
                 some = h[order[edges[k] : edges[k + 1]]]
                 rows.append((kind, k, stretch, some.tobytes() if kind == WORDS else _packed(some), *[None] * 4))
         if documents:
@@ -425,6 +474,32 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model, documents: bool) -> It
             rows.append((DOCUMENT, part % buckets, stretch, zlib.compress(b"".join(streams), 1), got["facts"].tobytes(), *[None] * 3))
         yield _batch(names, types, rows)
 
+    def facts(at, ids, out, one, back, place, frequent, known, both):
+        """What is known of each text, and what is known of the tokens that are open."""
+        level = np.full(len(one), ASKED, np.uint8)
+        level[frequent] = model.alone.read(one[frequent])
+        alone = level[back]
+        n = model.counts[place] if len(model.words) else np.zeros(len(one), np.int64)
+        own = np.where(frequent, model.place[place], len(model.values)).astype(model.place.dtype)[back]
+        sums = np.empty_like(own)
+        sums[1:] = own[:-1]
+        sums[at[:-1]] = model.place[-1]
+        text = np.repeat(np.arange(len(ids)), np.diff(at))
+        open_ = ~known | (both == 0) | (sums == len(model.values))
+        done = ~open_
+        count = lambda w, x: np.bincount(w, weights=x, minlength=len(ids))
+        made = np.zeros(len(ids), FACTS)
+        made["doc"] = [x if x is not None else 0 for x in ids]
+        made["null"] = [x is None for x in ids]
+        made["out"] = out
+        made["tokens"] = np.diff(at)
+        made["known"] = count(text, known)
+        made["open"] = count(text, open_)
+        made["base"] = count(text, np.where(frequent, model.log_base(n), 0.0)[back])
+        made["score"] = count(text[done], model.log(both[done], alone[done], model.values[sums[done]]))
+        both = np.where(both > 0, both, ASKED).astype(np.uint8)
+        return {"alone": alone[open_], "both": both[open_], "sums": sums[open_], "facts": made}
+
     for batch in batches:
         buf, offsets, _ = textbytes.raw_text(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
@@ -433,31 +508,16 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model, documents: bool) -> It
             h, at = tokens(buf, offsets[i : j + 1])
             one, back = np.unique(h, return_inverse=True)
             place, frequent = _among(model.words, one)
-            alone = np.where(frequent, model.alone.levels(one), ASKED)[back].astype(np.uint8)
-            n = np.where(frequent, model.counts[place] if len(model.words) else 0, 0)[back]
-            own = np.where(frequent, model.place[place], len(model.values))[back]
-            sums = np.empty(len(h), model.place.dtype)
-            sums[1:] = own[:-1]
-            sums[at[:-1]] = model.place[-1]
+            known = frequent[back]
             before = contexts(h, at)
             two = pairs(before, h)
-            both = model.pairs.levels(low(two))
-            both = np.where(both > 0, both, ASKED).astype(np.uint8)
-            text = np.repeat(np.arange(j - i), np.diff(at))
-            known = alone != ASKED
-            open_ = ~known | (both == ASKED) | (sums == len(model.values))
-            done = ~open_
-            facts = np.zeros(j - i, FACTS)
-            facts["doc"] = [x if x is not None else 0 for x in ids[i:j]]
-            facts["null"] = [x is None for x in ids[i:j]]
-            facts["out"] = out[i:j]
-            facts["tokens"] = np.diff(at)
-            facts["known"] = np.bincount(text, weights=known, minlength=j - i)
-            facts["open"] = np.bincount(text, weights=open_, minlength=j - i)
-            facts["base"] = np.bincount(text, weights=np.where(known, model.log_base(n), 0.0), minlength=j - i)
-            facts["score"] = np.bincount(text[done], weights=model.log(both[done], alone[done], model.values[sums[done]]), minlength=j - i)
-            asked = open_ & (both == ASKED)
-            for k, v in (("alone", alone[open_]), ("both", both[open_]), ("sums", sums[open_]), ("words", h[~known]), ("two", two[asked]), ("before", before[asked]), ("facts", facts)):
+            if documents:
+                both = model.pairs.levels(low(two))
+                asked = both == 0
+                more = facts(at, ids[i:j], out[i:j], one, back, place, frequent, known, both)
+            else:
+                asked, more = ~model.pairs.holds(low(two)), {}
+            for k, v in {"words": h[~known], "two": two[asked], "before": before[asked], **more}.items():
                 held.setdefault(k, []).append(v)
             size += len(h)
             if size >= ASKS:
@@ -476,7 +536,7 @@ def _answer(table: pa.Table, model: Model) -> pa.Table:
     for i in np.flatnonzero(kinds == VOCABULARY).tolist():
         row = _buffers(table, i, "h", "n", "filter")
         words, counts = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["n"], "<i8")
-        levels, sums = Filter.load(row["filter"]).levels(words), np.zeros(len(words), "<f4")
+        levels, sums = Filter.load(row["filter"]).levels(words).astype(np.uint8), np.zeros(len(words), "<f4")
     for i in np.flatnonzero(kinds == PAIRS).tolist():
         row = _buffers(table, i, "u", "runs", "h", "filter")
         two = Held(Filter.load(row["filter"]), _unpacked(row["h"]))
@@ -484,16 +544,23 @@ def _answer(table: pa.Table, model: Model) -> pa.Table:
         at, there = _among(words, u)
         sums[at[there]] = s[there]
     rows = []
-    for i in np.flatnonzero(kinds < DOCUMENT).tolist():
-        kind, stretch = int(kinds[i]), table.column("stretch")[i].as_py()
-        if kind == WORDS:
-            at, there = _among(words, np.frombuffer(table.column("h")[i].as_buffer(), "<u8"))
-            pick = lambda x, t: (np.where(there, x[at], 0) if len(words) else np.zeros(len(at))).astype(t).tobytes()  # noqa: B023, E731
-            rows.append((kind, bucket, stretch, pick(levels, np.uint8), pick(counts, "<u4"), pick(sums, "<f4")))
-        else:
-            h = _unpacked(table.column("h")[i].as_buffer())
-            level = two.levels(h) if two is not None else np.zeros(len(h), np.int64)
-            rows.append((kind, bucket, stretch, level.astype(np.uint8).tobytes(), None, None))
+    stretches = table.column("stretch").fill_null(0).to_numpy()
+    for kind, width in ((WORDS, 8), (TWO, 5)):
+        mine = np.flatnonzero(kinds == kind).tolist()
+        raw = [table.column("h")[i].as_buffer() for i in mine]
+        ends = np.cumsum([0, *(x.size // width for x in raw)])
+        for i, j in textbytes.slabs(ends, ASKS):  # stretches together, as with many parts each asks for little
+            asked = b"".join(raw[i:j])
+            if kind == WORDS:
+                at, there = _among(words, np.frombuffer(asked, "<u8"))
+                pick = lambda x, t: (np.where(there, x[at], 0) if len(words) else np.zeros(len(at))).astype(t)  # noqa: B023, E731
+                found = [pick(levels, np.uint8), pick(counts, "<u4"), pick(sums, "<f4")]
+            else:
+                h = _unpacked(asked)
+                found = [(two.levels(h) if two is not None else np.zeros(len(h), np.int64)).astype(np.uint8)]
+            for k in range(i, j):
+                cells = [x[ends[k] - ends[i] : ends[k + 1] - ends[i]].tobytes() for x in found]
+                rows.append((kind, bucket, int(stretches[mine[k]]), *cells, *[None] * (3 - len(cells))))
     return pa.Table.from_batches([_batch(["kind", "bucket", "stretch", "h", "n", "s"], [*_KEYS, *[pa.binary()] * 3], rows)])
 
 
@@ -511,7 +578,7 @@ def _finish(table: pa.Table, model: Model) -> pa.Table:
     asked = {WORDS: np.flatnonzero(alone == ASKED), TWO: np.flatnonzero(both == ASKED)}
     n, after = np.zeros(len(asked[WORDS]), np.int64), np.zeros(len(asked[WORDS]), "<f4")
     for kind, level in ((WORDS, alone), (TWO, both)):
-        where = np.frombuffer(raw, "<u4", len(asked[kind]), start)
+        where = np.frombuffer(raw, _small(np.zeros(0, np.int64), model.buckets).dtype, len(asked[kind]), start)
         start += where.nbytes
         order = np.argsort(where, kind="stable")
         mine = np.flatnonzero(kinds == kind)

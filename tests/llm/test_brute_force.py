@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskerade.llm import chroma, jaccard_forest, langid, lm_bloom, mixing, packing, quality_crf, sharding, suffix_dedup, template_html, textbytes
@@ -479,6 +480,66 @@ def test_log_frequency_filter():
     assert not lm_bloom.Held(f, h).levels(textbytes.mixed(np.arange(5001, 9001, dtype=np.uint64))).any()
 
 
+def test_asking_reads_no_levels(monkeypatch):
+    """Texts are gone through twice: what only their rows need is not worked out while parts are asked."""
+    text = "a rare pair a b a b c a b"
+    h, at = lm_bloom.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    two = lm_bloom.low(lm_bloom.pairs(lm_bloom.contexts(h, at), h))
+    words, many = (x[n >= 3] for x, n in (np.unique(x, return_counts=True) for x in (h, two)))
+    model = lm_bloom.Model(11, 6, (words, np.full(len(words), 8)), 8, 0.0, np.array([lm_bloom.BEGIN]), 5, lm_bloom.BITS)
+    model.pairs = lm_bloom.Held(lm_bloom.Filter(many, np.full(len(many), 8), 8), many)
+    assert len(words) == 2 and len(many) == 1
+    monkeypatch.setattr(lm_bloom.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None], "held_out": [False, True], "text": [text, "a  b"]})
+    (own,) = (r for b in lm_bloom._ask(iter([batch]), model, True) for r in b.to_pylist())
+    facts = np.frombuffer(own["n"], lm_bloom.FACTS)
+    assert facts["tokens"].tolist() == [11, 3] and facts["known"].tolist() == [7, 2]
+
+    def never(*_):
+        raise AssertionError
+
+    for what, name in ((lm_bloom.Filter, "levels"), (lm_bloom.Model, "log"), (lm_bloom.Model, "log_base")):
+        monkeypatch.setattr(what, name, never)
+    rows = [r for b in lm_bloom._ask(iter([batch]), model, False) for r in b.to_pylist()]
+    asked = {k: np.concatenate([np.frombuffer(r["h"], "<u8") if k == lm_bloom.WORDS else lm_bloom._unpacked(r["h"]) for r in rows if r["kind"] == k]) for k in (lm_bloom.WORDS, lm_bloom.TWO)}
+    end = np.array([lm_bloom.END])
+    other = lm_bloom.pairs(np.concatenate(([lm_bloom.BEGIN], h[[0, 4]])), np.concatenate((h[[0, 4]], end)))  # BEGIN a, a b, b END
+    assert h[0] == h[3] and h[4] == h[6]
+    assert sorted(asked[lm_bloom.WORDS].tolist()) == sorted([*h[~np.isin(h, words)].tolist(), *end.tolist()])
+    assert sorted(asked[lm_bloom.TWO].tolist()) == sorted([*two[~np.isin(two, many)].tolist(), *lm_bloom.low(other[[0, 2]]).tolist()])
+
+
+def test_stretches_are_answered_together(monkeypatch):
+    """Each gets its own answers, whatever number it has and however many are looked up at once."""
+    h = textbytes.mixed(np.arange(1, 41, dtype=np.uint64))
+    n = np.arange(1, 21)
+    words = lm_bloom._merge_words(pa.table({"bucket": [0], "h": [np.sort(h[:20]).tobytes()], "n": [n.astype("<u4").tobytes()]}), 400).to_pylist()[0]
+    two = lm_bloom._merge_pairs(pa.table({"bucket": [0], "u": [h[:1].tobytes()], "runs": [np.array([20], "<u4").tobytes()], "h": [lm_bloom._packed(np.sort(h[:20]))], "n": [n.astype("<u4").tobytes()]}), 400).to_pylist()[0]
+    model = lm_bloom.Model(10, 5, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 8, 0.0, np.array([lm_bloom.BEGIN]), 1, 400)
+    asks = {(1 << 40) * k + 1: h[k % 7 : k % 7 + k % 40] for k in (3, 9_000, 20_025, 30_000)}
+    rows = [{"kind": lm_bloom.VOCABULARY, **words}, {"kind": lm_bloom.PAIRS, **two}]
+    rows += [{"kind": lm_bloom.WORDS, "bucket": 0, "stretch": k, "h": x.tobytes()} for k, x in asks.items()]
+    rows += [{"kind": lm_bloom.TWO, "bucket": 0, "stretch": k, "h": lm_bloom._packed(x)} for k, x in asks.items()]
+    kinds = {"kind": pa.int32(), "bucket": pa.int32(), "stretch": pa.int64(), **dict.fromkeys(("h", "n", "u", "runs", "filter"), pa.binary())}
+    table = pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()})
+    count, low = dict(zip(np.sort(h[:20]).tolist(), n.tolist(), strict=True)), np.sort(lm_bloom.low(h[:20])).tolist()
+    for most in (1, 30, lm_bloom.ASKS):
+        monkeypatch.setattr(lm_bloom, "ASKS", most)
+        got = {(r["kind"], r["stretch"]): r for r in lm_bloom._answer(table, model).to_pylist()}
+        assert set(got) == {(kind, k) for kind in (lm_bloom.WORDS, lm_bloom.TWO) for k in asks}
+        for k, x in asks.items():
+            assert np.frombuffer(got[lm_bloom.WORDS, k]["n"], "<u4").tolist() == [count.get(w, 0) for w in x.tolist()]
+            assert (np.frombuffer(got[lm_bloom.TWO, k]["h"], np.uint8) > 0).tolist() == [w in low for w in lm_bloom.low(x).tolist()]
+
+
+@pytest.mark.parametrize("buckets", [3, 300, 70_000])
+def test_dealt_by_bucket(buckets):
+    bucket = np.random.default_rng(buckets).integers(0, buckets, 5000)
+    order, edges = lm_bloom._dealt(bucket, buckets)
+    assert (order == np.argsort(bucket, kind="stable")).all()
+    assert (edges == np.searchsorted(bucket[order], np.arange(buckets + 1))).all()
+
+
 def test_splitting_is_the_tokenizers():
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
